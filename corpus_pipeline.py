@@ -10,28 +10,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import common, quality, simhash, toxicity
+from tidemark.llm import common, decontaminate, packing, quality, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _kept(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    return scored.select(*docs.columns)
+#: Columns of the stages' own decisions; no column of documents has such a name.
+TOXICITY, QUALITY = "__toxicity", "__quality"
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the toxicity threshold."""
-    scored = toxicity.toxicity(docs, common.read(spark, sf_dir, "labels"), keep=docs.columns)
-    return _kept(docs, scored.where("predicted = 0"))
+    weights = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, weights, docs.columns, TOXICITY)
+    return scored.where(F.col(TOXICITY) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at or over the quality threshold."""
-    scored = quality.quality(docs, common.read(spark, sf_dir, "labels"), keep=docs.columns)
-    return _kept(docs, scored.where("predicted = 1"))
+    weights = quality.train(docs, common.read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, weights, docs.columns, QUALITY)
+    return scored.where(F.col(QUALITY) >= quality.THRESHOLD).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity_stage), ("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: Trained models and linked fingerprints are not SQL: tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

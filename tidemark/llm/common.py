@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of an Arrow batch sent to Python; whole texts can be long, so batches are kept short.
 ARROW_ROWS = 256
@@ -72,6 +73,25 @@ def by_batch(df: DataFrame, start: Callable[[], Callable[[list[list]], list[tupl
     return df.mapInArrow(run, schema)
 
 
+def append_column(docs: DataFrame, keep: list[str], start: Callable[[], Callable[[str | None], object]], name: str, kind: T.DataType) -> DataFrame:
+    """`keep` columns of docs as they are, and `name`: what the function that start() makes once a task gives for each whole text."""
+    small_batches(docs.sparkSession)
+    cols = [docs[c].alias(f"__k{i}") for i, c in enumerate(keep)]
+    at = keep.index("text") if "text" in keep else len(keep)
+    if at == len(keep):
+        cols.append(docs["text"].alias("__text"))
+    schema = T.StructType([*(T.StructField(f"__k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), T.StructField("__made", kind)])
+    arrow, n = to_arrow_type(kind), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = start()
+        for b in batches:
+            made = pa.array([one(t) for t in b.column(at).to_pylist()], arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], made], names=schema.names)
+
+    return docs.select(*cols).mapInArrow(run, schema).toDF(*keep, name)
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, as UTF-8; a null text has none. bytes.lower() and bytes.split() know ASCII only, which is just that."""
     return text.encode("utf-8", "replace").lower().split() if text else []

@@ -17,9 +17,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import by_batch, is_held_out, labelled_sample, read
+from .common import append_column, by_batch, is_held_out, labelled_sample, read
 from .ftrl import Ftrl, sigmoid
 
 BITS = 18
@@ -87,8 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return model.weights()
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep` columns of docs and score, by whole texts."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
+    """`keep` columns of docs and `name`, by whole texts."""
     small = weights.astype(np.float32)
 
     def start():
@@ -98,17 +98,9 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
             at = ngrams(text, memo)
             return w[0] + (SCALE * w[at].mean() if len(at) else 0.0)
 
-        def make(cols):
-            z = np.array([one(t) for t in cols[-1]], dtype=np.float64)
-            return [*((v, t) for v, t in zip(cols[:-1], kinds, strict=True)), (np.round(sigmoid(z), 9), pa.float64())]
-
-        return make
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        return lambda text: round(float(sigmoid(one(text))), 9)
 
-    kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
-    schema = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
-    return by_batch(docs.select(*keep, docs["text"].alias("__text")), start, schema)
+    return append_column(docs, keep, start, name, T.DoubleType())
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:

@@ -23,9 +23,9 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import by_batch, read, split_words, stored
+from .common import append_column, read, split_words, stored
 from .components import components
 
 RADIUS = 3
@@ -57,18 +57,14 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns of docs and fp: the fingerprint as a signed long."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def with_fingerprint(docs: DataFrame, keep: list[str], name: str = "fp") -> DataFrame:
+    """`keep` columns of docs and the fingerprint as a signed long."""
 
-    kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
+    def signed(text: str | None) -> int:
+        x = fingerprint(text)
+        return x - (1 << 64) if x >> 63 else x
 
-    def start():
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return lambda cols: [*zip(cols[:-1], kinds, strict=True), ([signed(fingerprint(t)) for t in cols[-1]], pa.int64())]
-
-    schema = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + ["fp bigint"])
-    return by_batch(docs.select(*keep, docs["text"].alias("__text")), start, schema)
+    return append_column(docs, keep, lambda: signed, name, T.LongType())
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -300,20 +296,35 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.unionByName(spanning)
 
 
-def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """keep columns, fp (signed long) and component_id (the smallest doc_id that links reach) for every row of docs.
-
-    Null and empty texts have fingerprint 0 and link like any other; repeated rows share a class; a class whose ids are all null has a null
-    component_id. An empty table gives an empty table.
-    """
-    keep = keep or ["doc_id"]
-    prints, _ = stored(with_fingerprint(docs, keep), "prints")
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, first): for each distinct fingerprint of prints (doc_id, fp), the smallest doc_id that links reach, and whether fp
+    holds the row that stays of its class: the one with that id (the smallest such fingerprint, if ids repeat)."""
     distinct, _ = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of, _ = stored(named.join(ids, "root").select("fp", "component_id"), "classes")
-    return prints.join(of, "fp").select(*keep, "fp", "component_id")
+    ids = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best"))
+    of = named.join(ids, "root").select("fp", F.col("best.least").alias("component_id"), (F.col("fp") == F.col("best.fp")).alias("first"))
+    return stored(of, "classes")[0]
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed long) and component_id (the smallest doc_id that links reach) for every row of docs.
+
+    Null and empty texts have fingerprint 0 and link like any other; repeated rows share a class; a class whose ids are all null has a null
+    component_id. An empty table gives an empty table; other columns are ignored.
+    """
+    prints, _ = stored(with_fingerprint(docs, ["doc_id"]), "prints")
+    return prints.join(classes(prints).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the smallest doc_id; any one of rows that agree in id and fingerprint.
+
+    Rows meet the winners on (fingerprint, id), so copies of one text are spread over tasks."""
+    prints, _ = stored(with_fingerprint(docs, docs.columns, "__fp"), "prints")
+    won = classes(prints.select("doc_id", F.col("__fp").alias("fp"))).where("first").select(F.col("fp").alias("__won"), F.col("component_id").alias("__id"))
+    kept = prints.join(won, (F.col("__fp") == F.col("__won")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__fp", "doc_id"]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
