@@ -86,23 +86,22 @@ def twins(found: set[str], most: int = 3) -> list[set[str]]:
     return [(found - set(terms)) | {SWAPS[w][k % len(SWAPS[w])] for w in terms} for k in range(most)] if terms else []
 
 
-def fit(rows: list[tuple[set[str], int]], penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from (word set, label) rows: FTRL on the log loss, and on penalty * (z - z')^2 for each twin."""
+def example(found: set[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A word set's features, and for each twin the features that differ: those that only the twin has as negative numbers."""
+    x = features(found)
+    return x, [np.concatenate([np.setdiff1d(x, t), -np.setdiff1d(t, x)]) for t in map(features, twins(found))]
+
+
+def fit(rows: list[tuple[np.ndarray, list[np.ndarray], int]], penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights from (features, differences, label) rows: FTRL on the log loss, and on penalty * (z - z')^2 for each twin."""
     model = Ftrl(DIMS, alpha=0.5, l1=L1 * (len(rows) / SAMPLE) ** 0.5)
-    ready = []
-    for found, y in rows:
-        x = features(found)
-        apart = []
-        for twin in map(features, twins(found)):
-            i = np.setxor1d(x, twin)
-            apart.append((i, np.where(np.isin(i, x), 1.0, -1.0)))
-        ready.append((x, np.ones(len(x)), y, apart))
     for _ in range(epochs):
-        for idx, x, y, apart in ready:
-            model.learn(idx, x, y)
-            for i, d in apart:
-                w = model.weights(i)
-                model.step(i, penalty * 2.0 * (w @ d) * d, w)
+        for x, apart, y in rows:
+            model.learn(x, np.ones(len(x)), y)
+            for d in apart:
+                at, sign = np.abs(d), np.sign(d).astype(np.float64)
+                w = model.weights(at)
+                model.step(at, penalty * 2.0 * (w @ sign) * sign, w)
     return model.weights()
 
 
@@ -122,15 +121,20 @@ class Weighted(dict):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Fit on a bounded sample of labelled rows that are not held out. Word sets are made on the executors; rows come back in order of a hash of their id."""
+    """Fit on a bounded sample of labelled rows that are not held out. Features are made on the executors; rows are taken in order of a hash of their id."""
     picked = labelled_sample(docs, labels, "toxic", sample)
 
     def start():
-        return lambda cols: [(cols[0], pa.int64()), ([sorted(words(t)) for t in cols[1]], pa.list_(pa.string())), (cols[2], pa.int32())]
+        def make(cols):
+            made = [example(words(t)) for t in cols[1]]
+            return [(cols[0], pa.int64()), ([x.astype(np.int32) for x, _ in made], pa.list_(pa.int32())), ([[d.astype(np.int32) for d in apart] for _, apart in made], pa.list_(pa.list_(pa.int32()))), (cols[2], pa.int32())]
+
+        return make
 
-    got = by_batch(picked.select("doc_id", "text", "y"), start, "doc_id bigint, words array<string>, y int").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
-    return fit([(set(r.words), r.y) for r in got])
+    got = by_batch(picked, start, "doc_id bigint, x array<int>, apart array<array<int>>, y int").toArrow()
+    rows = [(i, x.values.to_numpy(), [np.array(d, dtype=np.int32) for d in apart.as_py()], y) for i, x, apart, y in zip(got["doc_id"].to_pylist(), got["x"], got["apart"], got["y"].to_pylist(), strict=True)]
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], len(r[1])))
+    return fit([r[1:] for r in rows])
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
