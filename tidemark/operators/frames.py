@@ -46,7 +46,7 @@ def weighted_rows(clips: DataFrame, index: DataFrame, intervals: DataFrame, inte
     blocks = blocks.select("video_id", F.col("b.k").alias("clip_idx"), F.col("b.s").alias("score"), (F.col("b.a") + F.col("start_frame")).alias("a"), (F.col("b.z") + F.col("start_frame")).alias("z"))
     m = merged(intervals).withColumnRenamed("video_id", "__video")
     hit = blocks.join(m, (F.col("video_id") == F.col("__video")) & (F.col("start") < F.col("z")) & (F.col("stop") >= F.col("a")), "left")
-    pos = F.coalesce(F.sum(F.least(F.col("stop") + 1, F.col("z")) - F.greatest("start", "a")), F.lit(0))
+    pos = F.coalesce(F.sum(F.when(F.col("start").isNotNull(), F.least(F.col("stop") + 1, F.col("z")) - F.greatest("start", "a"))), F.lit(0))
     return hit.groupBy("video_id", "clip_idx", "score", "a", "z").agg(pos.alias("pos")).select("video_id", "clip_idx", "score", "pos", (F.col("z") - F.col("a") - F.col("pos")).alias("neg"))
 
 

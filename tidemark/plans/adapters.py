@@ -74,7 +74,7 @@ def weighted(c: DataFrame, idx: DataFrame, ivs: DataFrame) -> DataFrame:
 #: Weighted rows of clips (video_id, clip_idx, score): pos and neg frames, and a row of score 0 for frames beyond the last clip.
 WEIGHTED = """blocks AS (SELECT c.video_id, c.clip_idx, c.score, 16 * c.clip_idx AS a, least(16 * c.clip_idx + 16, end_frame + 1) AS z FROM {0} c JOIN idx USING (video_id)
 UNION ALL SELECT video_id, -1, 0.0, 16 * count(*), any_value(end_frame) + 1 FROM {0} JOIN idx USING (video_id) GROUP BY video_id),
-w0 AS (SELECT b.video_id, b.clip_idx, b.score, b.z - b.a AS n, coalesce(sum(least(i.stop + 1, b.z) - greatest(i.start, b.a)), 0)::BIGINT AS pos
+w0 AS (SELECT b.video_id, b.clip_idx, b.score, b.z - b.a AS n, coalesce(sum(least(i.stop + 1, b.z) - greatest(i.start, b.a)) FILTER (i.start IS NOT NULL), 0)::BIGINT AS pos
 FROM blocks b LEFT JOIN ivs i ON b.video_id = i.video_id AND i.start < b.z AND i.stop >= b.a WHERE b.a < b.z GROUP BY b.video_id, b.clip_idx, b.score, b.a, b.z),
 w AS (SELECT video_id, clip_idx, score, pos, (n - pos)::BIGINT AS neg FROM w0)"""
 

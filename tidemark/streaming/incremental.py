@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..backends import scored
+from ..backends import SCHEMA, scored
 from ..operators.quality import pending
 
 SCORES = "video_id string, center_frame bigint, score double"
@@ -23,13 +23,12 @@ def score_pending(clips: DataFrame, out: str, backend: str, **options) -> tuple[
     spark = clips.sparkSession
     done = _table(spark, f"{out}/scores", SCORES)
     left = pending(clips, done, spark.createDataFrame([], ERRORS))
-    made = scored(left, backend, **options).persist()
+    scored(left, backend, **options).write.mode("overwrite").parquet(f"{out}/batch")  # each clip is scored once, whatever reads it below
+    made = spark.read.schema(SCHEMA).parquet(f"{out}/batch")
     good, bad = made.where("error is null"), made.where("error is not null")
     good.select("video_id", "center_frame", "score").write.mode("append").parquet(f"{out}/scores")
     bad.select("video_id", "center_frame", "error").write.mode("append").parquet(f"{out}/errors")
-    counts = good.count(), bad.count()
-    made.unpersist()
-    return counts
+    return good.count(), bad.count()
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, out: str, backend: str, files: int = 16, **options):
