@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 1024
@@ -9,24 +11,25 @@ F1_EDGE = 1e-8
 
 
 def running(by_value: DataFrame, by: list[str], value: str, sums: dict[str, str]) -> DataFrame:
-    """by_value (one row for each group and value) with run_<name>: the sum of a column from the largest value down to this one.
+    """by_value (one row for each group and value) with run_<name>: the sum of a column from the largest value down to this one, and all_<name>: the group's.
 
-    Rows go to BINS value ranges; each is ordered on its own and shifted by the totals of the ranges above, so no task holds all."""
-    v = F.col(value)
-    span = by_value.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    spread = by_value.crossJoin(F.broadcast(span)).withColumn("__bin", F.coalesce(F.try_divide((v - F.col("__lo")) * BINS, F.col("__hi") - F.col("__lo")).cast("int"), F.lit(0))).drop("__lo", "__hi")
+    Rows go to value ranges by a fixed rising map of all numbers to BINS; each range is ordered on its own and shifted by the totals of the
+    ranges above, so no task holds all rows, and no pass is needed to find the ranges."""
+    place = F.floor((F.atan(F.col(value).cast("double")) / math.pi + 0.5) * BINS).cast("int")
+    spread = by_value.withColumn("__bin", place)
     totals = spread.groupBy(*by, "__bin").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    above = Window.partitionBy(*by).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "__bin", *[F.coalesce(F.sum(f"__t_{n}").over(above), F.lit(0)).alias(f"__a_{n}") for n in sums])
+    group = Window.partitionBy(*by)
+    above = group.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "__bin", *[F.coalesce(F.sum(f"__t_{n}").over(above), F.lit(0)).alias(f"__a_{n}") for n in sums], *[F.sum(f"__t_{n}").over(group).alias(f"all_{n}") for n in sums])
     down = Window.partitionBy(*by, "__bin").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
     run = spread.join(totals, [*by, "__bin"]).select("*", *[(F.col(f"__a_{n}") + F.sum(c).over(down)).alias(f"run_{n}") for n, c in sums.items()])
     return run.drop("__bin", *[f"__a_{n}" for n in sums])
 
 
 def curve(rows: DataFrame, by: list[str] = (), score: str = "score", pos: str = "pos", neg: str = "neg") -> DataFrame:
-    """by, score, pos, neg, tp, fp: one row for each distinct score; tp and fp count what scores at least that."""
+    """by, score, pos, neg, tp, fp, P, N: one row for each distinct score; tp and fp count what scores at least that, P and N everything."""
     per = rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(pos).cast("bigint").alias("pos"), F.sum(neg).cast("bigint").alias("neg"))
-    return running(per, list(by), "score", {"tp": "pos", "fp": "neg"}).withColumnsRenamed({"run_tp": "tp", "run_fp": "fp"})
+    return running(per, list(by), "score", {"tp": "pos", "fp": "neg"}).withColumnsRenamed({"run_tp": "tp", "run_fp": "fp", "all_tp": "P", "all_fp": "N"})
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -37,15 +40,13 @@ def ranking_metrics(curve_rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """roc_auc, pr_auc, max_f1, f1_threshold (lowest of equals), youden_threshold (highest of equals, null if no score beats the start), positives, negatives.
 
     NaN where a class is missing."""
-    sides = curve_rows.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = curve_rows.join(F.broadcast(sides), list(by)) if by else curve_rows.crossJoin(F.broadcast(sides))
     tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     precision = _safe(F.col("tp"), F.col("tp") + F.col("fp"))
     before = F.coalesce(_safe(tp0, tp0 + fp0), F.lit(1.0))
     recall = _safe(F.col("tp"), F.col("P"))
     f1 = 2.0 * precision * recall / (precision + recall + F1_EDGE)
     j = _safe(F.col("tp"), F.col("P")) - _safe(F.col("fp"), F.col("N"))
-    out = c.groupBy(*by, "P", "N").agg(
+    out = curve_rows.groupBy(*by, "P", "N").agg(
         F.sum(F.col("neg") * (F.col("tp") + tp0) / 2.0).alias("area"),
         F.sum(_safe(F.col("pos"), F.col("P")) * (precision + before) / 2.0).alias("pr"),
         F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("t"))).alias("f"),
@@ -71,8 +72,7 @@ def average_ranks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     for c in columns:
         per = rows.groupBy(*by, c).agg(F.count("*").alias("__n"))
         run = running(per, by, c, {"n": "__n"})
-        size = per.groupBy(*by).agg(F.sum("__n").alias("__all"))
-        ranked = (run.join(F.broadcast(size), by) if by else run.crossJoin(F.broadcast(size))).select(*by, c, (F.col("__all") - F.col("run_n") + (F.col("__n") + 1) / 2.0).alias(f"r_{c}"))
+        ranked = run.select(*by, c, (F.col("all_n") - F.col("run_n") + (F.col("__n") + 1) / 2.0).alias(f"r_{c}"))
         rows = rows.join(ranked, [*by, c])
     return rows
 
