@@ -14,6 +14,8 @@ are ignored. Every id lies in just one piece.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -42,28 +45,95 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-class ChunkIds(dict):
-    """Ids of a chunk between ASCII white space, as little-endian 32-bit bytes. The tokenizer's normaliser and pre-tokenizer never join
-    characters across ASCII white space and drop it, so a text's ids are those of its chunks in turn."""
+class Encoder:
+    """Ids of whole texts, as little-endian 32-bit bytes.
+
+    The tokenizer's normaliser makes every white space a blank, and its pre-tokenizer splits runs of letters, single digits and runs of other signs,
+    which are then encoded alone. So a text's ids are those of its chunks between white space in turn, and a word with a tail of stops is
+    the word, then the tail. Chunks are kept in a memo, which is emptied when it is full. New words of Latin letters are merged by rank: the
+    vocabulary's ids are in the order of its merges and each of its pieces is what its own bytes merge to, so merging the pair of
+    least rank gives the tokenizer's ids; the end of a word is a byte that UTF-8 never has. All else goes to the tokenizer."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < MEMO:
-            self[chunk] = ids
-        return ids
-
-
-SPACES = {c: " " for c in range(0x09, 0x0E)}
-
-
-def token_bytes(text: str | None, memo: ChunkIds) -> bytes:
-    """The ids of a whole text and END_ID, as little-endian unsigned 32-bit."""
-    chunks = text.translate(SPACES).split(" ") if text else []
-    return b"".join(map(memo.__getitem__, chunks)) + END_ID.to_bytes(4, "little")
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocabulary = model["vocab"]
+        self.memo: dict[str, bytes] = {}
+        self.merged = None
+        if all(vocabulary["".join(pair)] == len(vocabulary) - len(model["merges"]) + k for k, pair in enumerate(model["merges"])):
+            ranks = {piece_bytes(piece): i for piece, i in vocabulary.items()}
+            self.merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-cased words of Latin letters."""
+        if self.merged is None:
+            return self.alone(words)
+        return [np.array(self.merged(w.encode() + END_BYTE), dtype="<u4").tobytes() for w in words]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put the ids of all these chunks in the memo."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo = self.memo
+        new = [c for c in chunks if c not in memo]
+        split = [(c, core) for c in new if (core := c.rstrip(STOPS)) and (w := core.lower()).isalpha() and max(w) < LATIN]
+        plain = {c for c, _ in split}
+        lower = {core.lower() for _, core in split}
+        found = [w for w in lower if w not in memo]
+        memo.update(zip(found, self.words(found), strict=True))
+        tails = list({c[len(core) :] for c, core in split} - {""} - memo.keys())
+        memo.update(zip(tails, self.alone(tails), strict=True))
+        for c, core in split:
+            tail = c[len(core) :]
+            memo[c] = memo[core.lower()] + memo[tail] if tail else memo[core.lower()]
+        other = [c for c in new if c not in plain]
+        memo.update(zip(other, self.alone(other), strict=True))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text and END_ID."""
+        split = [chunked(t) for t in texts]
+        self.learn(set().union(*split))
+        look, end = self.memo.__getitem__, END_ID.to_bytes(4, "little")
+        return [b"".join(map(look, c)) + end for c in split]
+
+
+#: Runs of these after a word of letters are one pre-token of their own.
+STOPS = ".,;:!?"
+#: Letters below this one have one lower case wherever they stand and no other composed form.
+LATIN = "\u0250"
+END_BYTE = b"\xff"
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 letters for themselves, those from 256 on for the others in turn."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def piece_bytes(piece: str, letters: dict[str, int] = byte_letters()) -> bytes:
+    core = piece.removesuffix("</w>")
+    return bytes(letters[c] for c in core) + (END_BYTE if core != piece else b"")
+
+
+def chunked(text: str | None) -> list[str]:
+    """Chunks between white space as the tokenizer sees it: str.split() knows four more separators, which are rare."""
+    if not text:
+        return []
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        for c in "\t\n\v\f\r":
+            text = text.replace(c, " ")
+        return [c for c in text.split(" ") if c]
+    return text.split()
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for a Python worker, whatever the number of its tasks."""
+    return Encoder(path)
 
 
 def cut(length: int, capacity: int = CAPACITY, classes: int = CLASSES, slack: float = SLACK) -> Iterator[tuple[int, int]]:
@@ -140,11 +210,11 @@ def packed(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY, to
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, fill, worker, made = ChunkIds(path), Filler(capacity), TaskContext.get().partitionId(), 0
+        encode, fill, worker, made = encoder(path).texts, Filler(capacity), TaskContext.get().partitionId(), 0
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, start = token_bytes(text, memo), 0
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                start = 0
                 for length, j in cut(len(ids) // 4, capacity):
                     own = ids[4 * start : 4 * (start + length)]
                     piece = (doc, start, length, zlib.crc32(own), len(ids) // 4, worker, *[own] * with_ids)
