@@ -273,6 +273,31 @@ def test_packing(spark):
     assert packing.packed(docs(spark, [])).collect() == []
 
 
+def test_every_piece_of_the_vocabulary_is_what_its_bytes_merge_to():
+    """What merging by rank rests on."""
+    path = packing.public_tokenizers.path("word_bpe_49k.json")
+    e = packing.Encoder(path)
+    assert e.merged is not None
+    letters = packing.byte_letters()
+    plain, ended = [], []
+    for piece, i in e.tokenizer.get_vocab().items():
+        if i < 49406:
+            raw = packing.piece_bytes(piece, letters)
+            assert e.merged(raw) == [i]
+            if piece.endswith("</w>"):
+                try:
+                    word = raw[:-1].decode()
+                except UnicodeDecodeError:
+                    continue
+                if word.isalpha() and word == word.lower() and max(word) < packing.LATIN:
+                    plain.append(word)
+                    ended.append(i)
+    assert len(plain) > 20_000 and [list(x) for x in map(lambda b: np.frombuffer(b, dtype="<u4").tolist(), e.alone(plain))] == [[i] for i in ended]
+    rng = random.Random(7)
+    made = ["".join(rng.choice(plain)[:4] for _ in range(rng.randint(1, 6))) for _ in range(5_000)]
+    assert e.words(made) == e.alone(made)
+
+
 def test_sequences_hold_every_id(spark):
     rows = texts(40, words=500)
     out = packing.sequences(docs(spark, rows)).collect()
