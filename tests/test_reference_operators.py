@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import backends
-from tidemark.functions import ordinal as O, text as X
+from tidemark.functions import ordinal as O, prompts as P, text as X
 from tidemark.operators import clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
+from tidemark.plans import runs as N
 from tidemark.sources import readers, writers
 from tidemark.streaming import incremental
 
@@ -300,3 +301,25 @@ def test_completeness(spark):
     keys = spark.createDataFrame([("a", 0), ("a", 16), ("b", 0)], "video_id string, center_frame bigint")
     actual = spark.createDataFrame([("a", 0, 0.1), ("a", 16, 0.2), ("b", 0, None)], "video_id string, center_frame bigint, score double")
     assert {r.video_id: r.complete for r in Q.completeness(keys, actual).collect()} == {"a": True, "b": False}
+
+
+def test_prompts_and_runs(spark, tmp_path):
+    with pytest.raises(ValueError):
+        P.checked("no slot")
+    c = N.RunConfig.from_lines(["export SIGMA='5'", "INTERVAL=8", "# x", "ROOT=/a b"])
+    assert (c.sigma, c.interval, c.other) == (5.0, 8, {"ROOT": "/a b"})
+    folder = f"file://{tmp_path}"
+    assert N.claim(spark, folder) and not N.claim(spark, folder)
+    N.release(spark, folder)
+    assert N.claim(spark, folder)
+    with pytest.raises(ValueError):
+        U.fuse(series(spark, [2]), "none")
+    assert U.fuse(series(spark, [2]), "adjacent_mean").count() == 2
+
+
+def test_resamples(spark):
+    v = spark.createDataFrame([(f"v{k}",) for k in range(30)], "video_id string")
+    d = M.resamples(v, 20)
+    got = d.groupBy("rep").agg(F.sum("times").alias("n")).collect()
+    assert len(got) == 20 and all(r.n == 30 for r in got)
+    assert sorted(map(tuple, d.collect())) == sorted(map(tuple, M.resamples(v, 20).collect()))

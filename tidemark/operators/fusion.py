@@ -79,3 +79,18 @@ def fused_runs(initial: DataFrame, refined: DataFrame, alpha: float = 0.3) -> Da
     i, r = initial.select("video_id", "center_frame", F.col("score").alias("i")), refined.select("video_id", "center_frame", F.col("score").alias("r"))
     score = F.coalesce(alpha * F.col("i") + (1.0 - alpha) * F.col("r"), "i", "r")
     return i.join(r, ["video_id", "center_frame"], "full_outer").select("video_id", "center_frame", score.alias("score"))
+
+
+#: Fusion by name: each takes clips and gives clips.
+MODES = {
+    "adjacent_mean": adjacent_mean,
+    "overlap_mean": overlap_mean,
+    "overlap_logit": lambda clips: overlap_mean(clips, logits=True),
+    "adaptive": adaptive,
+}
+
+
+def fuse(clips: DataFrame, mode: str) -> DataFrame:
+    if mode not in MODES:
+        raise ValueError(f"unknown fusion {mode!r}; known: {', '.join(sorted(MODES))}")
+    return MODES[mode](clips)

@@ -94,3 +94,22 @@ def bootstrap(weighted: DataFrame, draws: DataFrame, metrics: list[str] = ("roc_
     m = ranking_metrics(curve(rows, ["rep"]), ["rep"])
     long = m.select("rep", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in metrics])).alias("x")).select("rep", "x.*").where(~F.isnan("v"))
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"), F.count("*").alias("reps"))
+
+
+def resamples(videos: DataFrame, reps: int, seed: int = 17) -> DataFrame:
+    """rep, video_id, times: reps draws of as many videos as there are, with replacement. A rep is one row of work with a generator of its own."""
+    numbered = videos.select("video_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("video_id")) - 1)
+    n = numbered.count()
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for rep in b["id"]:
+                times = np.bincount(np.random.default_rng([seed, int(rep)]).integers(0, n, n), minlength=n)
+                at = np.flatnonzero(times)
+                yield pd.DataFrame({"rep": int(rep), "k": at, "times": times[at]})
+
+    drawn = videos.sparkSession.range(reps).mapInPandas(run, "rep bigint, k bigint, times bigint")
+    return drawn.join(numbered, "k").select("rep", "video_id", "times")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import ordinal as O, text as X
+from ..functions import ordinal as O, prompts as P, text as X
 from ..operators import clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
 from ..sources import readers, writers
-from . import adapters as A
+from . import adapters as A, runs as N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -839,3 +839,49 @@ def score_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """What is written for each video: one JSON object of frame -> score."""
     return writers.score_maps(A.clips(spark, d))
 
+
+
+@query(
+    """SELECT n_nationkey::BIGINT AS nation, k AS position, t.role, t.content FROM (SELECT n_nationkey, k, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [] ELSE [{'role': 'system', 'content': n_name}] END || [{'role': 'user', 'content':
+'Is it ' || printf('%.1f', k / 10.0) || '?' || chr(10) || 'A: ' || CASE WHEN k % 2 = 1 THEN 'not reached' ELSE 'reached' END || chr(10) || 'B: ' || CASE WHEN k % 2 = 1 THEN 'reached' ELSE 'not reached' END}]) AS t FROM nation, (SELECT unnest(range(1, 11)) AS k))"""
+)
+def option_conversations(spark: SparkSession, d: str) -> DataFrame:
+    n = A.table(spark, d, "nation").crossJoin(F.broadcast(spark.range(1, 11)))
+    user = P.option_question("Is it {threshold}?", F.col("id") / 10.0, F.col("id") % 2 == 1)
+    turns = P.conversation(F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")), user)
+    return n.select(big("n_nationkey", "nation"), F.col("id").alias("position"), F.inline(turns))
+
+
+@query(
+    """SELECT k AS level, 'Is the answer NO to this question? Is it ' || printf('%.1f', k / 10.0) || '?' AS complement, 'Is it ' || printf('%.1f', k / 10.0) || '? (class ' || (k + 1) || ' of 11)' AS exact FROM (SELECT unnest(range(0, 11)) AS k)"""
+)
+def class_questions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    return spark.range(11).select(k.alias("level"), P.complement_question("Is it {threshold}?", k / 10.0).alias("complement"), P.class_question("Is it {threshold}?", k).alias("exact"))
+
+
+@query("SELECT coalesce(o_orderstatus, 'all') AS dataset, coalesce(o_orderpriority, 'all') AS method, round(avg(o_totalprice), 4) AS mean, count(*) AS runs FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def ensemble_rollup(spark: SparkSession, d: str) -> DataFrame:
+    g = A.table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.count("*").alias("runs"))
+    return g.select(F.coalesce("o_orderstatus", F.lit("all")).alias("dataset"), F.coalesce("o_orderpriority", F.lit("all")).alias("method"), r6("mean", places=4), "runs")
+
+
+@query(_with(A.CLIPS) + "SELECT count(DISTINCT video_id) AS videos, count(*) AS clips, count(*) FILTER (positive) AS failed, round(sum(score), 4) AS seconds, round((SELECT max(s) FROM (SELECT sum(score) AS s FROM clips GROUP BY video_id)), 4) AS slowest FROM clips")
+def run_record(spark: SparkSession, d: str) -> DataFrame:
+    c = A.clips(spark, d)
+    return rounded(N.run_record(c, c.where("positive"), c.groupBy("video_id").agg(F.sum("score").alias("seconds"))), 4)
+
+
+@query()
+def bootstrap_random(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded draws with replacement; the fixed draws of bootstrap_ci are what SQL can follow."""
+    c = A.clips(spark, d)
+    return rounded(M.bootstrap(R.weighted_rows(c, A.index(c), A.intervals(c)), M.resamples(c, 50)))
+
+
+@query()
+def seeded_windows(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred windows in an order drawn by digest: the same on every run."""
+    c = A.clips(spark, d)
+    key = F.sha2(F.concat_ws(":", F.lit("17"), F.col("video_id").cast("string"), F.col("center_frame").cast("string")).cast("binary"), 256)
+    return c.select("video_id", "center_frame", key.alias("key")).orderBy("key").limit(100)
