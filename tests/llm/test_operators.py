@@ -374,7 +374,9 @@ def test_near_duplicates_awkward(spark):
     assert kept.columns == docs(spark, AWKWARD).columns
 
 
-def test_components_long_path_and_hub(spark):
+@pytest.mark.parametrize("hub", [10, 500])
+def test_components_long_path_and_hub(spark, monkeypatch, hub):
+    monkeypatch.setattr("tidemark.llm.components.LEAST_HUB", hub)
     edges = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(50)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, **{200 + k: 100 for k in range(50)}, 300: 300, 301: 300}

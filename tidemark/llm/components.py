@@ -6,36 +6,52 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import remove, stored
 
+#: At most so many keys are broadcast: those with over 1 / HUBS of all rows, of which there cannot be more.
+HUBS = 10_000
+LEAST_HUB = 500
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table on key. table: key, n (how many of the rows have the key; total in all) and what is to be joined.
+
+    Frequent keys meet their line of the table by a broadcast, whose size their own frequency bounds; the others by a shuffle, in which no
+    key has more than max(LEAST_HUB, total / HUBS) rows. So a key that holds a third of all rows is no task of its own."""
+    most = max(LEAST_HUB, total // HUBS)
+    made = [c for c in table.columns if c not in (key, "n")]
+    hubs = F.broadcast(table.where(F.col("n") > most).select(key, F.struct(*made).alias("__hub")))
+    marked = rows.join(hubs, key, "left")
+    rest = marked.where("__hub is null").drop("__hub").join(table.where(F.col("n") <= most).drop("n"), key)
+    frequent = marked.where("__hub is not null").select(*rows.columns, *[F.col(f"__hub.{c}").alias(c) for c in made])
+    return frequent.unionByName(rest.select(*rows.columns, *made))
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: any ordered type): root is the smallest node reachable.
 
     Each round makes two star steps (Kiveris et al., 2014): every node links its larger neighbours, then its smaller ones, to the
     smallest. The number of edges never grows, rounds are logarithmic in the longest path, and all is min-aggregates and equi-joins.
-    A hub's edges meet in one join key on one side only, which adaptive skew handling splits. Self links are dropped. Each round
-    is written to the shared folder, so lineage stays short.
+    Self links are dropped. Each round is written to the shared folder, so lineage stays short.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now, path = stored(now, "edges")
     spark = edges.sparkSession
-    before = None
+    size, before = now.count(), None
     for _ in range(most_rounds):
         # large star: u with smallest m of {u} and its neighbours; every neighbour above u goes to m
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = met(both.where("v > u"), least, "u", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u with its smaller neighbours; all of them and u go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, least, "u", size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after, new = stored(small, "edges")
         remove(spark, path)
-        path = new
-        state = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        now = after
-        if tuple(state) == before:
+        path, now = new, after
+        size, digest = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if (size, digest) == before:
             break
-        before = tuple(state)
+        before = size, digest
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import append_column, read, split_words, stored
-from .components import components
+from .components import components, met
 
 RADIUS = 3
 SHINGLE = 3
@@ -302,8 +302,10 @@ def classes(prints: DataFrame) -> DataFrame:
     distinct, _ = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best"))
-    of = named.join(ids, "root").select("fp", F.col("best.least").alias("component_id"), (F.col("fp") == F.col("best.fp")).alias("first"))
+    named, _ = stored(named, "named")
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best")
+    of = met(named, named.groupBy("root").agg(best, F.count("*").alias("n")), "root", named.count())
+    of = of.select("fp", F.col("best.least").alias("component_id"), (F.col("fp") == F.col("best.fp")).alias("first"))
     return stored(of, "classes")[0]
 
 
