@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -65,26 +66,26 @@ class Encoder:
             self.merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of lower-cased words of Latin letters."""
         if self.merged is None:
             return self.alone(words)
-        return [np.array(self.merged(w.encode() + END_BYTE), dtype="<u4").tobytes() for w in words]
+        merged = self.merged
+        return [struct.pack(f"<{len(ids := merged(w.encode() + END_BYTE))}I", *ids) for w in words]
 
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of all these chunks in the memo."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = [c for c in chunks if c not in memo]
+        new = chunks.difference(memo)
         split = [(c, core) for c in new if (core := c.rstrip(STOPS)) and (w := core.lower()).isalpha() and max(w) < LATIN]
         plain = {c for c, _ in split}
-        lower = {core.lower() for _, core in split}
-        found = [w for w in lower if w not in memo]
+        found = list({core.lower() for _, core in split}.difference(memo))
         memo.update(zip(found, self.words(found), strict=True))
-        tails = list({c[len(core) :] for c, core in split} - {""} - memo.keys())
+        tails = list(({c[len(core) :] for c, core in split} - {""}).difference(memo))
         memo.update(zip(tails, self.alone(tails), strict=True))
         for c, core in split:
             tail = c[len(core) :]
@@ -101,7 +102,7 @@ class Encoder:
 
 
 #: Runs of these after a word of letters are one pre-token of their own.
-STOPS = ".,;:!?"
+STOPS = ".,;:!?$&%*#()"
 #: Letters below this one have one lower case wherever they stand and no other composed form.
 LATIN = "\u0250"
 END_BYTE = b"\xff"
