@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import common, decontaminate, packing, quality, simhash, toxicity
+from tidemark.llm import common, decontaminate, packing, quality, similar, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,8 +34,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each class of near duplicates (5-word similarity of 0.8 or more): that of the smallest id."""
+    return similar.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and linked fingerprints are not SQL: tests hold the stages against brute force.
+#: Trained models and linked near duplicates are not SQL: tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import ann, chat, decontaminate, licenses, packing, quality, sharding, simhash, toxicity, urls
+from tidemark.llm import ann, chat, decontaminate, licenses, packing, quality, sharding, similar, simhash, toxicity, urls
 from tidemark.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -412,6 +412,41 @@ def test_chat(spark):
 # the pipeline
 
 
+def test_near_duplicate_stage_by_brute_force(spark, monkeypatch):
+    """Copies at 5-word similarity of 0.8 or more go, whatever their fingerprints; also over several tiles."""
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(similar, "TILE_ROWS", 16)
+    rng = random.Random(4)
+    rows = [(i, t) for i, t in texts(60, seed=2, words=300) if len(t.split()) >= 20]
+    for i, t in list(rows):
+        for k in range(6 if i else 60):
+            words = t.split()
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(len(words))] = "edited"
+            rows.append((1_000 * (k + 1) + i, " ".join(words)))
+    rows += [(90_000, ""), (90_001, None), (90_002, "three short words"), (90_003, "Three  short words"), (90_004, "three short word")]
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    far = 0
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                far += (simhash.fingerprint(dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])).bit_count() > simhash.RADIUS
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert far > 100  # the fingerprints' radius alone misses these
+    kept = p.near_duplicate_stage(spark, docs(spark, rows, extra=False), SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i in sets if find(i) == i)
+
+
 def test_pipeline_on_documents(spark):
     import corpus_pipeline as p
 

@@ -19,6 +19,7 @@ holds it. Nothing is dropped: every probe meets every member in just one tile.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -296,11 +297,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.unionByName(spanning)
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, find: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, component_id, first): for each distinct fingerprint of prints (doc_id, fp), the smallest doc_id that links reach, and whether fp
-    holds the row that stays of its class: the one with that id (the smallest such fingerprint, if ids repeat)."""
+    holds the row that stays of its class: the one with that id (the smallest such fingerprint, if ids repeat). find makes the links (a, b) of
+    the distinct fingerprints (fp, least)."""
     distinct, _ = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct))
+    roots = components(find(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named, _ = stored(named, "named")
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best")

@@ -1,0 +1,118 @@
+"""Near-duplicates by exact similarity: texts whose sets of 5-word shingles have a Jaccard similarity of SIMILARITY or more link; a class is what links
+reach. This is the pipeline's stage; op9_simhash keeps its own contract of fingerprints.
+
+Texts of equal sets collapse to one row. Candidates come from MinHash: BANDS keys of ROWS minima each, so that two texts of similarity s share no key
+with probability (1 - s^ROWS)^BANDS: 7e-5 at 0.8, less above. What shared keys connect is a group, and within a group every pair is compared on
+the sets themselves: a pair is linked by its similarity alone, and is found also if only others connect it.
+
+A large group is dealt to tiles; each pair of tiles is one task, which gives back a spanning forest of its links, not all pairs. Nothing is dropped.
+
+Defined results: a text of fewer than 5 words has one shingle, the whole sequence; texts without words (null ones too) are all alike.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from .common import append_column, split_words, stored
+from .components import components, met
+from .simhash import SEED, classes
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 5
+TILE_ROWS, TILE_SHINGLES = 2048, 1 << 20
+_FACTORS, _SHIFTS = np.random.default_rng(17).integers(0, 1 << 32, size=(2, BANDS * ROWS, 1), dtype=np.uint32)
+_FACTORS |= np.uint32(1)
+
+
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 values of the text's n-word shingles."""
+    words = split_words(text)
+    if len(words) <= n:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - n + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    h = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(h, dtype=np.uint64))
+
+
+def sketch(text: str | None) -> list[int]:
+    """A hash of the text's set of shingles, the size of the set, and one key a band."""
+    x = shingles(text)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    h = (x >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(h), 2048):
+        low = np.minimum(low, (h[None, at : at + 2048] * _FACTORS + _SHIFTS).min(axis=1))
+    minima = low.tobytes()
+    keys = [xxhash.xxh64_intdigest(minima[k * 4 * ROWS : (k + 1) * 4 * ROWS], k) for k in range(BANDS)]
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED), len(x), *keys], dtype=np.uint64).view(np.int64).tolist()
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span what the pairs of sets at SIMILARITY or more connect; not all of those pairs."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    if not sizes.all():
+        raise ValueError("empty sets have no similarity")
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    starts = np.cumsum(sizes) - sizes
+    own, unseen, out = np.zeros(int(place.max()) + 1, dtype=np.int32), np.ones(len(sets), dtype=bool), []
+    for first in range(len(sets)):
+        if not unseen[first]:
+            continue
+        unseen[first], todo = False, [first]
+        while todo and unseen.any():
+            a = todo.pop()
+            mine = place[starts[a] : starts[a] + sizes[a]]
+            own[mine] = 1
+            both = np.add.reduceat(own[place], starts)
+            own[mine] = 0
+            # in whole numbers: both / (a + b - both) >= 0.8
+            new = np.flatnonzero(unseen & (100 * both >= round(100 * SIMILARITY) * (sizes[a] + sizes - both)))
+            unseen[new] = False
+            out.extend((a, int(b)) for b in new)
+            todo.extend(new.tolist())
+    return out
+
+
+def links(prints: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): sets whose links reach what all pairs at SIMILARITY or more reach. prints: doc_id, text, __fp, __sketch; distinct: fp, least."""
+    sketches, _ = stored(prints.where(F.col("__sketch")[1] > 0).select(F.col("__fp").alias("fp"), F.col("__sketch").alias("sketch")).distinct(), "sketches")
+    keys = sketches.select("fp", F.explode(F.slice("sketch", 3, BANDS)).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    shared, _ = stored(shared, "shared-keys")
+    edges = met(keys, shared, "key", BANDS * sketches.count()).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    groups, _ = stored(components(edges).withColumnRenamed("node", "fp"), "groups")
+    sized = groups.join(sketches.select("fp", F.col("sketch")[1].alias("size")), "fp")
+    sized = sized.groupBy("root").agg(F.count("*").alias("n"), F.expr(f"int(greatest(ceil(count(*) / {TILE_ROWS}), ceil(sum(size) / {TILE_SHINGLES})))").alias("tiles"))
+    # one text of each set; rows meet it on (set, id), so copies of one text are spread over tasks
+    asked = groups.join(distinct, "fp").select(F.col("fp").alias("__asked"), F.col("least").alias("__id"), "root")
+    texts = prints.join(asked, (F.col("__fp") == F.col("__asked")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    texts, _ = stored(texts.groupBy("root", F.col("__fp").alias("fp")).agg(F.min("text").alias("text")), "texts")
+    tiled = met(texts, sized, "root", groups.count()).withColumn("own", F.expr("int(pmod(xxhash64(fp, 7), tiles))"))
+    # every two tiles meet, and a tile meets itself in each of them; a group of one tile meets itself
+    tiled = tiled.withColumn("other", F.explode(F.expr("filter(sequence(0, tiles - 1), k -> k <> own or tiles = 1)")))
+    dealt = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text")
+
+    def of_tile(table: pa.Table) -> pa.Table:
+        fp = table["fp"].to_numpy()
+        got = np.array(forest([shingles(t.as_py()) for t in table["text"]]), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": fp[got[:, 0]], "b": fp[got[:, 1]]})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(of_tile, "a bigint, b bigint")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the smallest doc_id; any one of rows that agree in id and set of shingles."""
+    made = append_column(docs, docs.columns, lambda: sketch, "__sketch", T.ArrayType(T.LongType()))
+    prints, _ = stored(made.withColumn("__fp", F.col("__sketch")[0]), "prints")
+    found = classes(prints.select("doc_id", F.col("__fp").alias("fp")), lambda distinct: links(prints, distinct))
+    won = found.where("first").select(F.col("fp").alias("__won"), F.col("component_id").alias("__id"))
+    kept = prints.drop("__sketch").join(won, (F.col("__fp") == F.col("__won")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__fp", "doc_id"]).select(*docs.columns)
