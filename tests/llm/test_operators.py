@@ -104,6 +104,21 @@ def test_ann_recall_and_scores(spark, even):
     assert got[100] == true[100]
 
 
+def test_ann_fills_every_query(spark, monkeypatch):
+    """Lone vectors beside a tight group meet nearly empty keys at one probe; they still get their k nearest, and exactly."""
+    monkeypatch.setattr(ann, "fitted", lambda *a: 1)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1_500, 32))
+    x[100:] = x[0] + 0.01 * x[100:]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    out = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), "vec_id % 5 = 0").collect()
+    true, got = brute(np.arange(1_500), x.astype(np.float64), 5, 20), {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == true.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(got[i] == true[i] for i in range(5, 100, 5)) >= 15
+
+
 def test_ann_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.5, 0.5])], "vec_id bigint, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(few, "vec_id % 20 = 0").orderBy("rank").collect()] == [(0, 1, 2, 0.5), (0, 2, 1, 0.0)]

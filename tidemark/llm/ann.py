@@ -6,7 +6,8 @@ table, the keys of least cost: the sums of how far each axis falls short of the
 and are ranked by the exact measure on the original vectors.
 
 How many keys to probe is fitted: SAMPLE queries are answered exactly over all rows, and the fewest probes are taken that find TARGET of
-their neighbours. If MOST probes do not, every vector is a candidate (one key holds all). Vectors of unequal length get one more
+their neighbours. If MOST probes do not, every vector is a candidate (one key holds all). A query that then finds fewer than K is answered
+exactly, against all rows. Vectors of unequal length get one more
 coordinate that makes all of one length, so that the nearest angle is the largest inner product.
 
 Members of a key and its probes are dealt to tiles of at most about TILE_X by TILE_Q, so a hot key is many tasks. A tile gives back each
@@ -98,7 +99,7 @@ class Rotations:
 
     def probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
         """(rows, up to n) keys by rising cost."""
-        per = 2 * self.size if self.functions == 1 else max(2, min(2 * self.size, math.ceil(n ** (1 / self.functions)) * 2))
+        per = 2 * self.size if self.functions <= 1 else max(2, min(2 * self.size, math.ceil(n ** (1 / self.functions)) * 2))
         cost, keys = np.zeros((len(x), 1)), np.zeros((len(x), 1), dtype=np.int64)
         for f in range(self.functions):
             y = self.turned(x, True, table, f)
@@ -178,21 +179,9 @@ def fitted(base: DataFrame, turns: Rotations, queries: DataFrame, k: int) -> int
     return need if need <= most else None
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (SQL on vec_id) holds."""
-    every, _ = stored(vectors(rows), "vectors")
-    usual = every.groupBy("width").agg(F.count("*").alias("n"), F.min("length").alias("a"), F.max("length").alias("z")).orderBy(F.desc("n"), "width").first()
-    if usual is None:
-        return every.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    base = every.where(F.col("width") == usual.width)
-    width, n = usual.width, usual.n
-    longest = None if usual.z - usual.a <= 1e-3 * usual.z else usual.z
-    functions = max(1, int(math.log(max(n / BUCKET, 1)) / math.log(2 * Rotations(width, 0, longest).size)))
-    turns = Rotations(width, functions, longest)
-    queries = base.where(is_query)
-    probes = fitted(base, turns, queries, k)
-    if probes is None:  # every vector is a candidate
-        turns, probes = Rotations(width, 0, turns.longest, tables=1), 1
+def searched(base: DataFrame, queries: DataFrame, turns: Rotations, probes: int, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the k best of every query among the members of the keys that it probes."""
+    width = turns.width
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +215,32 @@ def nearest(rows: DataFrame, is_query: str, k: int = K) -> DataFrame:
         return pa.table({"query_id": ids[qi][i], "vec_id": ids[xi][j], "score": score})
 
     pairs = dealt(q, "tq", "tx", 0).unionByName(dealt(x, "tx", "tq", 1)).groupBy(*key, "iq", "ix").applyInArrow(of_tile, _PAIRS)
-    return _ranked(pairs, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _ranked(pairs, k)
+
+
+def nearest(rows: DataFrame, is_query: str, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (SQL on vec_id) holds."""
+    every, _ = stored(vectors(rows), "vectors")
+    usual = every.groupBy("width").agg(F.count("*").alias("n"), F.min("length").alias("a"), F.max("length").alias("z")).orderBy(F.desc("n"), "width").first()
+    if usual is None:
+        return every.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    base = every.where(F.col("width") == usual.width)
+    width, n = usual.width, usual.n
+    longest = None if usual.z - usual.a <= 1e-3 * usual.z else usual.z
+    functions = max(1, int(math.log(max(n / BUCKET, 1)) / math.log(2 * Rotations(width, 0, longest).size)))
+    turns = Rotations(width, functions, longest)
+    queries = base.where(is_query)
+    probes = fitted(base, turns, queries, k)
+    if probes is None:  # every vector is a candidate
+        turns, probes = Rotations(width, 0, turns.longest, tables=1), 1
+
+    found, _ = stored(searched(base, queries, turns, probes, k), "found")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    short, _ = stored(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti").select("vec_id", "vec").distinct(), "short")
+    if turns.functions and short.head(1):  # one key holds all: these queries meet every row
+        exact = searched(base, short, Rotations(width, 0, longest, tables=1), 1, k)
+        found = found.join(full, "query_id", "left_semi").unionByName(exact)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
