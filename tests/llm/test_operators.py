@@ -140,6 +140,23 @@ def test_license_scan(spark):
     assert licenses.scanned(docs(spark, []), licenses.known(spark)).collect() == []
 
 
+def test_full_license_texts(spark):
+    """The MIT and BSD licences as they are published, whatever the breaks, and the long ones; a changed text is none of them."""
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    keep = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    none = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    rows = [("MIT", f"{title}Copyright (c) 2021 A. Person\n\n{grant}\n\n{keep}\n\n{none}\n") for title in ("", "MIT License\n\n", "The MIT License (MIT)\n\n")]
+    rows.append((None, f"{grant}\n\n{keep}"))
+    folder = licenses.files("tidemark.llm") / "license_texts"
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"):
+        text = (folder / f"{name}.txt").read_text()
+        rows += [(name, text), (name, text.upper()), (None, text + "\nmore")]
+    header = (folder / "Apache-2.0.header.txt").read_text().replace("[yyyy]", "2020")
+    rows.append(("Apache-2.0", header))
+    out = licenses.scanned(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)]), licenses.known(spark)).collect()
+    assert [r.license for r in sorted(out, key=lambda r: r.doc_id)] == [n for n, _ in rows]
+
+
 # urls
 
 

@@ -14,12 +14,37 @@ of the empty form, which is no licence; repeated rows are looked up each; other
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import read
 
+
+
+def _forms(name: str, text: str) -> list[tuple[str, str]]:
+    """(licence, text) for the ways in which a full text is found: lines as published or one a paragraph; with or without its title, the numbers
+    of its clauses, and what follows its end."""
+    text = text.strip("\n")
+    bodies = [text, re.split(r"\n *END OF TERMS AND CONDITIONS", text)[0], re.split(r"\n *Creative Commons is not a party", text)[0]]
+    bodies += [f"{b}\n\nEND OF TERMS AND CONDITIONS" for b in bodies[1:2] if b != text]
+    if name in TITLES:
+        untitled = text.split("\n", 1)[1].strip("\n")
+        bodies += [untitled, *[f"{t}\n\n{untitled}" for t in TITLES[name]]]
+    if name.startswith("BSD"):
+        bodies += [re.sub(r"(?m)^\d\. ", "", b) for b in bodies]
+    bodies += ["\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", b)) for b in bodies]
+    return [(name, b) for b in dict.fromkeys(bodies)]
+
+
+#: Titles of texts that are also found without one, besides that of the file.
+TITLES = {"MIT": ["The MIT License (MIT)", "The MIT License"], "BSD-2-Clause": ["The 2-Clause BSD License"], "BSD-3-Clause": ["The 3-Clause BSD License"]}
+#: Full texts and standard headers: a file of license_texts each, named after its licence.
+FULL = [x for f in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt") for x in _forms(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text(encoding="utf-8"))]
 #: Known texts: (licence, text). Public licence texts and notices.
 KNOWN = [
+    *FULL,
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
