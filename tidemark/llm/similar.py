@@ -2,8 +2,8 @@
 reach. This is the pipeline's stage; op9_simhash keeps its own contract of fingerprints.
 
 Texts of equal sets collapse to one row. Candidates come from MinHash: BANDS keys of ROWS minima each, so that two texts of similarity s share no key
-with probability (1 - s^ROWS)^BANDS: 7e-5 at 0.8, less above. What shared keys connect is a group, and within a group every pair is compared on
-the sets themselves: a pair is linked by its similarity alone, and is found also if only others connect it.
+with probability (1 - s^ROWS)^BANDS: 7e-5 at 0.8, less above. The sets of a key are in the group of the least of them, and within a group every
+pair is compared on the sets themselves: keys bring sets together, similarity alone links them.
 
 A large group is dealt to tiles; each pair of tiles is one task, which gives back a spanning forest of its links, not all pairs. Nothing is dropped.
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import append_column, split_words, stored
-from .components import components, met
+from .components import met
 from .simhash import SEED, classes
 
 SHINGLE = 5
@@ -56,7 +56,7 @@ def sketch(text: str | None) -> list[int]:
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span what the pairs of sets at SIMILARITY or more connect; not all of those pairs."""
+    """Links that span what the pairs of sets at SIMILARITY or more connect, each from the first that is reached; not all of those pairs."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not sizes.all():
         raise ValueError("empty sets have no similarity")
@@ -76,7 +76,7 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             # in whole numbers: both / (a + b - both) >= 0.8
             new = np.flatnonzero(unseen & (100 * both >= round(100 * SIMILARITY) * (sizes[a] + sizes - both)))
             unseen[new] = False
-            out.extend((a, int(b)) for b in new)
+            out.extend((first, int(b)) for b in new)
             todo.extend(new.tolist())
     return out
 
@@ -87,8 +87,9 @@ def links(prints: DataFrame, distinct: DataFrame) -> DataFrame:
     keys = sketches.select("fp", F.explode(F.slice("sketch", 3, BANDS)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     shared, _ = stored(shared, "shared-keys")
-    edges = met(keys, shared, "key", BANDS * sketches.count()).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    groups, _ = stored(components(edges).withColumnRenamed("node", "fp"), "groups")
+    # two sets that share a key are both in the group of that key's least set
+    groups = met(keys, shared, "key", BANDS * sketches.count()).select("fp", F.col("least").alias("root")).distinct()
+    groups, _ = stored(groups, "groups")
     sized = groups.join(sketches.select("fp", F.col("sketch")[1].alias("size")), "fp")
     sized = sized.groupBy("root").agg(F.count("*").alias("n"), F.expr(f"int(greatest(ceil(count(*) / {TILE_ROWS}), ceil(sum(size) / {TILE_SHINGLES})))").alias("tiles"))
     # one text of each set; rows meet it on (set, id), so copies of one text are spread over tasks
@@ -101,6 +102,7 @@ def links(prints: DataFrame, distinct: DataFrame) -> DataFrame:
     dealt = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text")
 
     def of_tile(table: pa.Table) -> pa.Table:
+        table = table.sort_by("fp")
         fp = table["fp"].to_numpy()
         got = np.array(forest([shingles(t.as_py()) for t in table["text"]]), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": fp[got[:, 0]], "b": fp[got[:, 1]]})
