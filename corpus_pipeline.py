@@ -1,50 +1,44 @@
 """A corpus pipeline of five stages: toxicity, quality, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the last return the
-columns of docs. Rows that a stage keeps are passed on unchanged.
+columns of docs. Rows that a stage keeps are passed on unchanged. Columns may have any names; an empty table gives an empty one, and empty tables of labels
+or benchmark items let all documents pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, decontaminate, packing, quality, similar, toxicity
+from tidemark.llm import common, decontaminate, packing, quality, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Columns of the stages' own decisions; no column of documents has such a name.
-TOXICITY, QUALITY = "__toxicity", "__quality"
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under the toxicity threshold."""
-    weights = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, weights, docs.columns, TOXICITY)
-    return scored.where(F.col(TOXICITY) < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents scored under the toxicity threshold. Null and empty texts get the bias alone; see toxicity.clean."""
+    return toxicity.clean(docs, common.read(spark, sf_dir, "labels"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at or over the quality threshold."""
-    weights = quality.train(docs, common.read(spark, sf_dir, "labels"))
-    scored = quality.score(docs, weights, docs.columns, QUALITY)
-    return scored.where(F.col(QUALITY) >= quality.THRESHOLD).select(*docs.columns)
+    """Documents scored at or over the quality threshold. Null and empty texts get the bias alone; see quality.clean."""
+    return quality.clean(docs, common.read(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (5-word similarity of 0.8 or more): that of the smallest id."""
-    return similar.deduplicated(docs)
+    """One document of each class of near duplicates (5-word similarity of 0.8 or more, candidates by SimHash): that of the smallest id. All texts without words are one class;
+    see simhash.deduplicated."""
+    return simhash.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Null and empty texts contain none; see decontaminate.clean."""
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
+    """The pieces of all documents, placed in sequences. A null or empty text is the end id alone; see packing."""
     return packing.packed(docs)
 
 
