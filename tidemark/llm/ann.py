@@ -6,12 +6,13 @@ table, the keys of least cost: the sums of how far each axis falls short of the
 and are ranked by the exact measure on the original vectors.
 
 How many keys to probe is fitted: SAMPLE queries are answered exactly over all rows, and the fewest probes are taken that find TARGET of
-their neighbours. If MOST probes do not, every vector is a candidate (one key holds all). A query that then finds fewer than K is answered
-exactly, against all rows. Vectors of unequal length get one more
+their neighbours. If MOST probes do not, hashing is of no use on these vectors, and every query meets all rows in blocks; so does a query that
+finds fewer than K. Vectors of unequal length get one more
 coordinate that makes all of one length, so that the nearest angle is the largest inner product.
 
-Members of a key and its probes are dealt to tiles of at most about TILE_X by TILE_Q, so a hot key is many tasks. A tile gives back each
-query's K best of that tile, which loses nothing, as the K best overall are among them. Ties go to the smaller id.
+Neighbouring keys form groups of about TILE_BYTES of members. A vector is sent to its group once for each table, a query once to each group in which it
+probes keys, in the element type of the input. Groups are dealt to tiles of about TILE_BYTES by TILE_Q queries, so a hot key is many tasks. A tile gives
+back each query's K best of that tile, which loses nothing, as the K best overall are among them. Ties go to the smaller id.
 
 Defined results: vectors that are null, zero, not of the usual length, or hold null or non-finite values take no part; a row is no
 candidate for a query of its own id; rows repeated in id and vector count once; other columns are ignored.
@@ -27,20 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import read, stored
+from .components import met
 
 K = 20
 QUERY_STEP = 20
-TABLES = 4
+TABLES = 2
 SAMPLE = 128
 TARGET = 0.96
 MOST = 4096
 SEED = 11
 BUCKET = 256
-TILE_X, TILE_Q = 8192, 1024
+#: Bytes of a tile's members in double precision, and its queries.
+TILE_BYTES, TILE_Q = 16 << 20, 2048
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, vec (little-endian float64 bytes) and length of the rows that take part."""
+    """vec_id, vec (little-endian bytes: of float64 if the column holds doubles, else of float32), width and length of the rows that take part."""
+    kind = element(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,15 +54,23 @@ def vectors(rows: DataFrame) -> DataFrame:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
                 if len(x) and np.isfinite(x).all() and x.any():
-                    out.append((i, x.tobytes(), len(x), float(np.sqrt(x @ x))))
+                    out.append((i, x.astype(kind).tobytes(), len(x), float(np.sqrt(x @ x))))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.float64()), strict=True)], names=["vec_id", "vec", "width", "length"])
 
     return rows.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, vec binary, width int, length double")
 
 
+def element(rows: DataFrame) -> str:
+    """The numpy type that holds the embedding's elements exactly."""
+    return "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, width)
+    """(rows, width) in double precision; the elements' type shows in the bytes of a row."""
+    raw = column.to_pylist()
+    kind = "<f4" if raw and len(raw[0]) == 4 * width else "<f8"
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(-1, width).astype(np.float64)
 
 
 class Rotations:
@@ -153,7 +165,7 @@ def fitted(base: DataFrame, turns: Rotations, queries: DataFrame, k: int) -> int
     picked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not picked:
         return 1
-    q_ids, q = np.array([r.vec_id for r in picked]), np.frombuffer(b"".join(bytes(r.vec) for r in picked), dtype="<f8").reshape(len(picked), -1)
+    q_ids, q = np.array([r.vec_id for r in picked]), matrix(pa.array([bytes(r.vec) for r in picked]), turns.width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +180,7 @@ def fitted(base: DataFrame, turns: Rotations, queries: DataFrame, k: int) -> int
         return 1
     at = {int(i): n for n, i in enumerate(q_ids)}
     own = np.array([at[r.query_id] for r in true])
-    x = np.frombuffer(b"".join(bytes(r.vec) for r in true), dtype="<f8").reshape(len(true), -1)
+    x = matrix(pa.array([bytes(r.vec) for r in true]), turns.width)
     most = min(MOST, (2 * turns.size) ** turns.functions)
     place = np.full(len(true), most + 1)
     for t in range(turns.tables):
@@ -179,42 +191,82 @@ def fitted(base: DataFrame, turns: Rotations, queries: DataFrame, k: int) -> int
     return need if need <= most else None
 
 
-def searched(base: DataFrame, queries: DataFrame, turns: Rotations, probes: int, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the k best of every query among the members of the keys that it probes."""
-    width = turns.width
+def best_by_key(q_ids: np.ndarray, q: np.ndarray, q_keys: list[np.ndarray], x_ids: np.ndarray, x: np.ndarray, x_keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of each query's k nearest of those x whose key is one of its own."""
+    order = np.argsort(x_keys, kind="stable")
+    keys = x_keys[order]
+    asked = np.concatenate(q_keys)
+    owner = np.repeat(np.arange(len(q)), [len(a) for a in q_keys])
+    lo, hi = np.searchsorted(keys, asked, side="left"), np.searchsorted(keys, asked, side="right")
+    found = []
+    for start in np.unique(lo[hi > lo]):
+        own = np.unique(owner[(lo == start) & (hi > lo)])
+        block = order[start : np.searchsorted(keys, keys[start], side="right")]
+        i, j, score = best_of(q_ids[own], q[own], x_ids[block], x[block], k)
+        found.append((own[i], block[j], score))
+    if not found:
+        return asked[:0], asked[:0], np.zeros(0)
+    i, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((x_ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+    return i[keep], j[keep], score[keep]
+
+
+def searched(base: DataFrame, queries: DataFrame, turns: Rotations, probes: int, k: int, n: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the k best of every query among the members of the keys that it probes. n: the rows of base."""
+    width, every = turns.width, (2 * turns.size) ** turns.functions
+    tile_x = max(1, TILE_BYTES // (8 * width))
+    groups = max(1, min(every, -(-n // tile_x)))
+    schema, key = "t int, group bigint, id bigint, vec binary, keys array<bigint>", ["t", "group"]
+    names = ["t", "group", "id", "vec", "keys"]
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), width)
             for t in range(turns.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(turns.keys(x, t)), b.column(0), b.column(1)], names=["t", "key", "id", "vec"])
+                keys = turns.keys(x, t)
+                own = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(group_of(keys)), b.column(0), b.column(1), own], names=names)
+
+    def group_of(keys: np.ndarray) -> np.ndarray:
+        return np.minimum((keys.astype(np.float64) * (groups / every)).astype(np.int64), groups - 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), width)
-            for t in range(turns.tables):
+            for t in range(turns.tables if len(x) else 0):
                 keys = turns.probes(x, t, probes)
-                for p in range(keys.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(keys[:, p]), b.column(0), b.column(1)], names=["t", "key", "id", "vec"])
+                group, row = group_of(keys).reshape(-1), np.repeat(np.arange(len(x)), keys.shape[1])
+                order = np.lexsort((group, row))
+                starts = np.flatnonzero(np.diff(row[order] * groups + group[order], prepend=-1))
+                at = pa.array(row[order][starts])
+                own = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(keys.reshape(-1)[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), t, dtype=np.int32)), pa.array(group[order][starts]), b.column(0).take(at), b.column(1).take(at), own], names=names)
 
-    schema, key = "t int, key bigint, id bigint, vec binary", ["t", "key"]
     x, q = base.select("vec_id", "vec").mapInArrow(member, schema), queries.select("vec_id", "vec").mapInArrow(probe, schema)
-    sizes, _ = stored(q.groupBy(key).agg(F.count("*").alias("nq")).join(x.groupBy(key).agg(F.count("*").alias("nx")), key), "buckets")
-    tiles = sizes.select(*key, F.expr(f"int(ceil(nq / {TILE_Q}))").alias("tq"), F.expr(f"int(ceil(nx / {TILE_X}))").alias("tx"))
-
-    def dealt(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        placed = df.join(tiles, key).withColumn("own", F.expr(f"int(pmod(xxhash64(id, 3), {own}))")).withColumn("other", F.explode(F.expr(f"sequence(0, {other} - 1)")))
+    sizes = q.groupBy(key).agg(F.count("*").alias("nq")).join(x.groupBy(key).agg(F.count("*").alias("nx")), key)
+    sizes, _ = stored(sizes.select(*key, "nq", "nx", F.expr(f"int(ceil(nq / {TILE_Q}))").alias("tq"), F.expr(f"int(ceil(nx / {tile_x}))").alias("tx")), "groups")
+    total = sizes.agg(F.coalesce(F.sum("nq"), F.lit(0)), F.coalesce(F.sum("nx"), F.lit(0))).first()
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        count, own, other = ("nq", "tq", "tx") if side == 0 else ("nx", "tx", "tq")
+        placed = met(df, sizes.select(*key, own, other, F.col(count).alias("n")), key, total[side])
+        placed = placed.withColumn("own", F.expr(f"int(pmod(xxhash64(id, 3), {own}))")).withColumn("other", F.explode(F.expr(f"sequence(0, {other} - 1)")))
         iq, ix = ("own", "other") if side == 0 else ("other", "own")
-        return placed.select(*key, F.col(iq).alias("iq"), F.col(ix).alias("ix"), "id", "vec", F.lit(side).alias("side"))
+        return placed.select(*key, F.col(iq).alias("iq"), F.col(ix).alias("ix"), "id", "vec", "keys", F.lit(side).alias("side"))
 
     def of_tile(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        ids, v = table["id"].to_numpy(), matrix(table["vec"].combine_chunks(), width)
+        side, ids, keys = table["side"].to_numpy(), table["id"].to_numpy(), table["keys"].combine_chunks()
+        v = matrix(table["vec"].combine_chunks(), width)
         qi, xi = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j, score = best_of(ids[qi], v[qi], ids[xi], v[xi], k) if len(qi) and len(xi) else (qi[:0], xi[:0], np.zeros(0))
+        i, j, score = qi[:0], xi[:0], np.zeros(0)
+        if len(qi) and len(xi):
+            own = [keys[int(r)].values.to_numpy() for r in qi]
+            i, j, score = best_by_key(ids[qi], v[qi], own, ids[xi], v[xi], keys.take(pa.array(xi)).flatten().to_numpy(), k)
         return pa.table({"query_id": ids[qi][i], "vec_id": ids[xi][j], "score": score})
 
-    pairs = dealt(q, "tq", "tx", 0).unionByName(dealt(x, "tx", "tq", 1)).groupBy(*key, "iq", "ix").applyInArrow(of_tile, _PAIRS)
+    pairs = dealt(q, 0).unionByName(dealt(x, 1)).groupBy(*key, "iq", "ix").applyInArrow(of_tile, _PAIRS)
     return _ranked(pairs, k)
 
 
@@ -234,16 +286,14 @@ def nearest(rows: DataFrame, is_query: str, k: int = K) -> DataFrame:
     if probes is None:  # every vector is a candidate
         turns, probes = Rotations(width, 0, turns.longest, tables=1), 1
 
-    found, _ = stored(searched(base, queries, turns, probes, k), "found")
+    found, _ = stored(searched(base, queries, turns, probes, k, n), "found")
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
     short, _ = stored(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti").select("vec_id", "vec").distinct(), "short")
     if turns.functions and short.head(1):  # one key holds all: these queries meet every row
-        exact = searched(base, short, Rotations(width, 0, longest, tables=1), 1, k)
+        exact = searched(base, short, Rotations(width, 0, longest, tables=1), 1, k, n)
         found = found.join(full, "query_id", "left_semi").unionByName(exact)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), f"vec_id % {QUERY_STEP} = 0")
-
-
