@@ -1,7 +1,7 @@
 """License scans: canonical digests of entire texts, hash-joined to known licences. DataFrame functions only.
 
 Canonical form: A-Z lower-cased, http as https, equivalent spellings made one (licence, sub-licence, organisation, favour, "&", typographic quotes
-and dashes), lines that state a copyright or reserve all rights taken out, list marks and every sign other than letters and digits made
+and dashes), lines that state a copyright, or only reserve all rights, taken out, list marks and every sign other than letters and digits made
 a blank, blanks collapsed and cut off. The SHA-256 of that form is looked up in the digests of the known texts.
 
 The whole text of a document is looked up, and so is each of its lines on its own, as a notice is a known text that stands alone on a line. Lines
@@ -64,8 +64,11 @@ KNOWN = [
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     ),
 ]
-#: A line that states a copyright, with the break before it.
-COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that states a copyright, with the break before it: the word or sign before a sign, a year, a place for one, or "by". A line of a licence's text that merely begins with "copyright
+#: notice" or "copyright holders" is none.
+COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(copyright[^\n\p{L}\p{N}]*(\(c\)|©|[0-9]{4}|\[yyyy\]|<year>|by )|\(c\)[^\n\p{L}\p{N}]*(copyright|[0-9]{4}|by )|©)[^\n]*"
+#: A line that is only this.
+RESERVED = r"(^|\n)[^\n\p{L}\p{N}]*all rights reserved[^\n\p{L}\p{N}]*(\n|\z)"
 #: (found, made) in order, on lower-cased text. Fixed values.
 SPELLINGS = [
     ("licence", "license"),
@@ -85,7 +88,7 @@ BROADCAST_TEXTS = 100_000
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line breaks: every step stays within a line, so a line's form is the line of the form."""
-    x = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "$1")
+    x = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "$1"), RESERVED, "$1$2")
     for found, made in SPELLINGS:
         x = F.replace(x, F.lit(found), F.lit(made))
     return F.regexp_replace(x, SIGNS, " ")
@@ -133,7 +136,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    x = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '\\1', 'g')"
+    x = f"regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '\\1', 'g'), '{RESERVED}', '\\1\\2', 'g')"
     for found, made in SPELLINGS:
         x = f"replace({x}, '{found}', '{made}')"
     return f"regexp_replace({x}, '{SIGNS}', ' ', 'g')"
