@@ -1,10 +1,13 @@
 """URL rules: a blocked Bloom filter of the listed canonical URLs in front of an exact hash join.
 
-A rule is a host and a path prefix. A url asks for every host suffix of its own (at label borders) with every prefix of its path that is
+A rule is a host and a path prefix. A url asks for every listed host suffix of its own (at label borders) with every prefix of its path that is
 as long as a listed path is. These keys meet the filter first: a key's hash names one block of 256 bits and one bit in each of the block's four
 words, so that one look-up decides. Keys that pass go to an exact join with the list, which removes false positives; the longest rule
-wins. The filter is a table of blocks, made by one aggregate; with a list of up to BROADCAST_RULES it is broadcast (8 + 32 bytes a
-block, at most BITS_PER_RULE bits a rule), beyond that both joins are shuffled.
+wins. The filter holds hosts as well as whole keys, so a suffix that no rule has is done with before paths are cut. It is one array, of at most
+MOST_BLOCKS blocks (32 bytes each): more rules only make it less selective.
+
+A list of up to BROADCAST_BYTES meets the keys by a broadcast. A longer one is joined with components.met, in which a frequent key is spread over
+tasks, and urls without a key take no part.
 
 Defined results: a null url or one without :// has an empty host and path and no rule; a url that no rule fits gets the default verdict;
 of equal rules with both verdicts block wins; repeated rows are judged each; other columns are ignored.
@@ -14,14 +17,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read
+from .common import read, stored
+from .components import met
 
 #: (verdict, host, path prefix). Fixed values.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 DEFAULT = "allow"
 BITS_PER_RULE = 16
 BLOCK_BITS = 256
-BROADCAST_RULES = 1_000_000
+MOST_BLOCKS = 1 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def parts(url: str) -> tuple[Column, Column]:
@@ -30,37 +35,55 @@ def parts(url: str) -> tuple[Column, Column]:
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _block_and_mask(key: str, blocks: int) -> dict[str, Column]:
-    h = f"xxhash64({key})"
-    return {"block": F.expr(f"int(pmod({h}, {blocks}))")} | {f"m{k}": F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({key}, 'bits'), {6 * k}) & 63))") for k in range(4)}
+def _bits(key: Column) -> Column:
+    return F.xxhash64(key, F.lit("bits"))
+
+
+def _mask(bits: Column, k: int) -> Column:
+    """The bit of a key in word k of its block."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def bloom_filter(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row, `bloom`: the four words of every block, one after the other; and how many blocks there are. keys: key, n of them."""
+    blocks = min(MOST_BLOCKS, max(1, -(-n * BITS_PER_RULE // BLOCK_BITS)))
+    set_ = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[_mask(_bits(F.col("key")), k).alias(f"m{k}") for k in range(4)])
+    by_block = set_.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(4)])
+    every = keys.sparkSession.range(blocks).withColumnRenamed("id", "block").join(by_block, "block", "left")
+    words = F.array(*[F.coalesce(f"w{k}", F.lit(0).cast("bigint")) for k in range(4)]).alias("words")
+    return every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", words))), lambda x: x["words"])).alias("bloom")), blocks
 
 
-def bloom_filter(rules: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(block, w0..w3) of the rules' keys, and how many blocks there are."""
-    blocks = max(1, -(-n * BITS_PER_RULE // BLOCK_BITS))
-    made = _block_and_mask("key", blocks)
-    return rules.select(*[c.alias(k) for k, c in made.items()]).groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(4)]), blocks
+def passes(key: Column, blocks: int) -> Column:
+    """Whether the filter in column `bloom` may hold the key."""
+    at, bits = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int") * 4, _bits(key)
+    hit = [F.get("bloom", at + k).bitwiseAND(_mask(bits, k)) != 0 for k in range(4)]
+    return hit[0] & hit[1] & hit[2] & hit[3]
 
 
-def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages. rules: verdict, host, path."""
     rules = rules.groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("blocks"))
-    rules = rules.select(F.concat("host", "path").alias("rule"), F.concat_ws(" ", "host", "path").alias("key"), F.length("path").alias("n"), F.when(F.col("blocks"), "block").otherwise("allow").alias("said"))
-    count, lengths = rules.agg(F.count("*"), F.collect_set("n")).first()
-    small = (lambda df: F.broadcast(df)) if count <= BROADCAST_RULES else (lambda df: df)
-    bloom, blocks = bloom_filter(rules, count)
+    rules = rules.select("host", F.concat("host", "path").alias("rule"), F.concat_ws(" ", "host", "path").alias("key"), F.length("path").alias("n_path"), F.when(F.col("blocks"), "block").otherwise("allow").alias("said"))
+    count, size, lengths = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rule") + F.octet_length("key") + 32), F.lit(0)), F.collect_set("n_path")).first()
+    bloom, blocks = bloom_filter(rules.select("key").unionByName(rules.select(F.col("host").alias("key"))).distinct(), 2 * count)
+    rules = rules.drop("host")
     host, path = parts("url")
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")).crossJoin(F.broadcast(bloom))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    suffixes = F.filter(suffixes, lambda h: passes(h, blocks))
     fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.concat(h, F.lit(" "), F.substring("path", F.lit(1), n)))))
-    asked = rows.select("*", F.explode_outer(keys).alias("key"))
-    asked = asked.select("*", *[c.alias(k) for k, c in _block_and_mask("key", blocks).items()])
-    passes = " and ".join(f"w{k} & m{k} = m{k}" for k in range(4))
-    looked = asked.join(small(bloom), "block", "left").withColumn("key", F.expr(f"if({passes}, key, null)"))
-    hits = looked.join(small(rules), "key", "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("long"), "n", "rule", "said")))
+    asked = rows.withColumn("keys", F.filter(keys, lambda k: passes(k, blocks))).select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key"))
+    if size <= broadcast_bytes:
+        hits = asked.join(F.broadcast(rules), "key", "left")
+    else:
+        asked, _ = stored(asked, "asked")
+        keyed = asked.where("key is not null")
+        found = met(keyed, rules.join(keyed.groupBy("key").agg(F.count("*").alias("n")), "key"), "key", keyed.count())
+        hits = found.unionByName(asked, allowMissingColumns=True)
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("long"), F.col("n_path"), "rule", "said")))
     # keys of a row were made side by side: rows are told apart by their place, and grouped within their task's output first
     out = hits.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit(default)).alias("verdict"))
