@@ -9,12 +9,14 @@ or itself, so the text form can be parsed back too.
 The loss mask is 1 on the tokens of assistants' texts. It is a prefix sum: +1 where such a segment starts, -1 where it ends.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; a null text or role is empty; repeated rows are turns of their own;
-a null conv_id is one conversation; an empty table gives none; other columns are ignored. A conversation is formatted in one task, as
-it is one training row.
+a row with a null conv_id belongs to none other and is a conversation of its own; an empty table gives none; other columns are ignored. A
+conversation is formatted in one task, as it is one training row.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
-from .common import read, small_batches
+from .common import read, slices, small_batches
 
 #: Marker strings; marker k has the id VOCABULARY + k. Fixed values.
 MARKERS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<role>", "</role>", "<end>"]
@@ -37,10 +39,14 @@ _ANY = re.compile("|".join(rf"({re.escape(c[0])})(\\*)({re.escape(c[1:])})" for
 
 
 def escape(text: str) -> str:
+    if "<" not in text and "[" not in text:
+        return text
     return _ANY.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1] + "\\" + g[2], text)
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return _ANY.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1][1:] + g[2], text)
 
 
@@ -61,27 +67,38 @@ def segments(turns: list[tuple[str, str]]) -> Iterator[tuple[str | int, bool]]:
             yield mark["<end>"], False
 
 
+@functools.lru_cache(maxsize=1)
+def encoding(path: str) -> tiktoken.Encoding:
+    """One encoding for a Python worker, whatever the number of its tasks. Control strings in a text are ordinary text to it."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Assembler:
     def __init__(self, path: str | None = None) -> None:
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
+        self.encoding = encoding(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
-    def assemble(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids and the loss mask of one conversation."""
+    def assemble(self, turns: list[tuple[str, str]]) -> tuple[str, np.ndarray, np.ndarray]:
+        """Formatted text, token ids and the loss mask of one conversation."""
         parts = list(segments(turns))
-        texts = [p for p, _ in parts if isinstance(p, str)]
-        encoded = iter(self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else [])
-        ids = [[p] if isinstance(p, int) else next(encoded).ids for p, _ in parts]
-        ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        ids = [[p] if isinstance(p, int) else self.encoding.encode_ordinary(p) for p, _ in parts]
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        ends = np.cumsum(lengths)
         change = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.int64)
-        for (_, counts), end, own in zip(parts, ends, ids, strict=True):
-            if counts:
-                change[end - len(own)] += 1
-                change[end] -= 1
-        return np.array([i for x in ids for i in x], dtype=np.int32), np.cumsum(change)[:-1].astype(np.int8)
+        counts = np.fromiter((c for _, c in parts), dtype=bool, count=len(parts))
+        np.add.at(change, (ends - lengths)[counts], 1)
+        np.add.at(change, ends[counts], -1)
+        text = "".join(MARKERS[p - VOCABULARY] if isinstance(p, int) else p for p, _ in parts)
+        return text, np.array([i for x in ids for i in x], dtype=np.int32), np.cumsum(change)[:-1].astype(np.int8)
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
+        return self.encoding.decode_bytes(ids.tolist()).decode("utf-8") if len(ids) else ""
+
+    def inner(self, ids: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """The places of the markers, and the text between each two neighbours of them, as it was before it was escaped."""
+        marks = np.flatnonzero(ids >= VOCABULARY)
+        return marks, [unescape(self.decode(ids[a + 1 : b])) for a, b in zip(marks, marks[1:])]
 
     def text(self, ids: np.ndarray) -> str:
         """The formatted text of a conversation's ids."""
@@ -91,42 +108,37 @@ class Assembler:
             at = k + 1
         return "".join([*out, self.decode(ids[at:])])
 
-    def turns(self, ids: np.ndarray) -> list[tuple[str, str]]:
-        """Roles and texts read back from ids."""
+    def read_back(self, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], str]:
+        """Roles and texts by the markers, and all text under the mask, from ids that are decoded once."""
         by_marker = {MARKERS.index(a): role for role, (a, _) in ROLES.items()}
-        marks = np.flatnonzero(ids >= VOCABULARY)
-        inner = [unescape(self.decode(ids[a + 1 : b])) for a, b in zip(marks, marks[1:])]
+        marks, between = self.inner(ids)
         out, k = [], 0
         while k < len(marks):
             kind = ids[marks[k]] - VOCABULARY
             if kind in by_marker:
-                out.append((by_marker[kind], inner[k]))
+                out.append((by_marker[kind], between[k]))
                 k += 2
             else:
-                out.append((inner[k], inner[k + 1]))
+                out.append((between[k], between[k + 1]))
                 k += 3
-        return out
-
-    def loss_text(self, ids: np.ndarray, mask: np.ndarray) -> str:
-        """All text under the mask, unescaped segment by segment."""
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-        return "".join(unescape(self.decode(ids[a:b])) for a, b in zip(edges[::2], edges[1::2]))
+        # a segment is whole under the mask or not at all: its first token tells
+        loss = [t for t, a, b in zip(between, marks, marks[1:]) if b > a + 1 and mask[a + 1]]
+        return out, "".join(loss)
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
     """conv_id, text, ids (array of int), loss_mask (array of tinyint): one row a conversation."""
     small_batches(conversations.sparkSession)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), turn.alias("said"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"))
+    grouped = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("said")).alias("turns")).select("conv_id", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Assembler()
-        for b in batches:
+        for b in slices(batches):
             made = [maker.assemble([(t["role"], t["text"]) for t in ts]) for ts in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([maker.text(i) for i, _ in made], pa.string()), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.list_(pa.int8()))],
-                names=["conv_id", "text", "ids", "loss_mask"],
-            )
+            text, ids, mask = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(mask, pa.list_(pa.int8()))], names=["conv_id", "text", "ids", "loss_mask"])
 
     return grouped.mapInArrow(run, "conv_id bigint, text string, ids array<int>, loss_mask array<tinyint>")
 
@@ -136,16 +148,15 @@ def digests(made: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Assembler()
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for conv, ids, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ids, mask = np.array(ids, dtype=np.int32), np.array(mask, dtype=np.int8)
-                turns, loss = reader.turns(ids), reader.loss_text(ids, mask)
+            for ids, mask in zip(b.column(1), b.column(2), strict=True):
+                turns, loss = reader.read_back(ids.values.to_numpy(), mask.values.to_numpy())
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                rows.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*cols, b.column(3)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(3)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     chars = made.select("conv_id", "ids", "loss_mask", F.length("text").cast("bigint").alias("chars"))
     return chars.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -11,21 +11,22 @@ HUBS = 10_000
 LEAST_HUB = 500
 
 
-def met(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def met(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """rows joined with table on key. table: key, n (how many of the rows have the key; total in all) and what is to be joined.
 
     Frequent keys meet their line of the table by a broadcast, whose size their own frequency bounds; the others by a shuffle, in which no
     key has more than max(LEAST_HUB, total / HUBS) rows. So a key that holds a third of all rows is no task of its own."""
     most = max(LEAST_HUB, total // HUBS)
-    made = [c for c in table.columns if c not in (key, "n")]
-    hubs = F.broadcast(table.where(F.col("n") > most).select(key, F.struct(*made).alias("__hub")))
-    marked = rows.join(hubs, key, "left")
-    rest = marked.where("__hub is null").drop("__hub").join(table.where(F.col("n") <= most).drop("n"), key)
+    keys = [key] if isinstance(key, str) else key
+    made = [c for c in table.columns if c not in (*keys, "n")]
+    hubs = F.broadcast(table.where(F.col("n") > most).select(*keys, F.struct(*made).alias("__hub")))
+    marked = rows.join(hubs, keys, "left")
+    rest = marked.where("__hub is null").drop("__hub").join(table.where(F.col("n") <= most).drop("n"), keys)
     frequent = marked.where("__hub is not null").select(*rows.columns, *[F.col(f"__hub.{c}").alias(c) for c in made])
     return frequent.unionByName(rest.select(*rows.columns, *made))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: any ordered type): root is the smallest node reachable.
 
     Each round makes two star steps (Kiveris et al., 2014): every node links its larger neighbours, then its smaller ones, to the
@@ -36,7 +37,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now, path = stored(now, "edges")
     spark = edges.sparkSession
     size, before = now.count(), None
-    for _ in range(most_rounds):
+    while True:  # it settles: the sum of the ends of all edges falls until they are stars
         # large star: u with smallest m of {u} and its neighbours; every neighbour above u goes to m
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
@@ -52,6 +53,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (size, digest) == before:
             break
         before = size, digest
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -7,8 +7,10 @@ each is in the document with a probability that equals the containment, however
 size; a partition's sketch length s is its largest allowed number of missing shingles plus one, so that a document which reaches the
 threshold has at least one of the s (no true pair is missed). Candidates are then verified on the shingles themselves.
 
-Items are taken in blocks of at most BLOCK shingles, each sent to every task: that is the proven bound of what is broadcast. More
-items mean more passes over the documents, not a larger broadcast.
+One pass over the documents, however many items there are: a Bloom filter of all sketch hashes (of at most MOST_BITS bits: that is the
+bound of what is sent to every task; more hashes only make it less selective) is what each shingle of a document meets first. Shingles that
+pass go to a join with the sketches by their hash, in which frequent hashes are spread over tasks (components.met). Items stay in
+tables; equal items are looked up once.
 
 Words: lower-cased, split at ASCII white space, signs at either end cut, empty ones left out. An item with fewer than 5 words is one
 shingle of its whole sequence. Defined results: null or empty items and texts match nothing; repeated rows give repeated pairs collapsed
@@ -17,47 +19,52 @@ to one; rows with a null id match but keep their null; other columns are ignored
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import append_column, read, small_batches
+from .common import Memo, append_column, by_batch, fresh, read, slices, stored
+from .components import met
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Shingles of one block of items.
-BLOCK = 200_000
-MEMO = 200_000
+#: Bits of the filter for each sketch hash, and its bounds.
+BITS_PER_HASH = 128
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 FACTOR = 0x9E3779B97F4A7C15
 
-Item = tuple[int | None, frozenset[tuple[str, ...]]]
 
-
-def _strip(chunk: str) -> str:
-    a, b = 0, len(chunk)
-    while a < b and not chunk[a].isalnum():
+def word_of(chunk: bytes) -> str:
+    """A chunk between white space without the signs at its ends."""
+    c = chunk.decode("utf-8")
+    a, b = 0, len(c)
+    while a < b and not c[a].isalnum():
         a += 1
-    while b > a and not chunk[b - 1].isalnum():
+    while b > a and not c[b - 1].isalnum():
         b -= 1
-    return chunk[a:b]
+    return c[a:b]
+
+
+def chunks(text: str | None) -> list[bytes]:
+    # bytes.split() knows ASCII white space only: other spaces belong to words
+    return text.lower().encode("utf-8", "replace").split() if text else []
 
 
 def words(text: str | None) -> list[str]:
-    # ASCII white space only: other spaces belong to words
-    return [w for c in (text or "").lower().translate(SPACES).split(" ") if (w := _strip(c))]
+    return [w for c in chunks(text) if (w := word_of(c))]
 
 
-SPACES = {c: " " for c in range(0x09, 0x0E)}
+def grams(w: list[str], n: int) -> set[tuple[str, ...]]:
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def shingles(text: str | None) -> frozenset[tuple[str, ...]]:
+def shingles(text: str | None) -> set[tuple[str, ...]]:
     w = words(text)
-    n = min(SHINGLE, len(w))
-    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+    return grams(w, min(SHINGLE, len(w))) if w else set()
 
 
 def most_missing(size: int) -> int:
@@ -65,127 +72,164 @@ def most_missing(size: int) -> int:
     return max(m for m in range(size + 1) if size - m >= THRESHOLD * size - 1e-9)
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+def chunk_hash(chunk: bytes) -> tuple[int, ...]:
+    """The hash of a chunk's word, or none for a chunk of signs."""
+    w = word_of(chunk)
+    return (xxhash.xxh3_64_intdigest(w.encode()),) if w else ()
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n neighbours."""
+    """A 64-bit hash of every n neighbours; it tells n as well."""
     if len(h) < n:
         return h[:0]
-    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         out = out * np.uint64(FACTOR) + h[k : len(h) - n + 1 + k]
     out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Sketches:
-    """A block of items: for each shingle length, the sketch hashes (sorted) and the items that each belongs to."""
-
-    def __init__(self, items: list[Item]) -> None:
-        self.items = items
-        by_class: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for k, (_, own) in enumerate(items):
-            by_class[len(next(iter(own))), len(own).bit_length()].append(k)
-        found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for (n, _), members in by_class.items():
-            s = most_missing(max(len(items[k][1]) for k in members)) + 1
-            for k in members:
-                h = sorted(int(rolled(np.array([word_hash(w) for w in g], dtype=np.uint64), n)[0]) for g in items[k][1])
-                for x in h[:s]:
-                    found[n][x].append(k)
-        self.tables = {n: (np.array(sorted(t), dtype=np.uint64), [t[x] for x in sorted(t)]) for n, t in found.items()}
-
-
-class Hashes(dict):
-    """chunk -> hash of its word, or none for a chunk of signs; kept for the chunks met so far."""
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        w = _strip(chunk)
-        made = (word_hash(w),) if w else ()
-        if len(self) < MEMO:
-            self[chunk] = made
-        return made
-
-
-def matches(text: str | None, block: Sketches, memo: Hashes) -> list[tuple[int, int, int]]:
-    """(item's place in the block, shingles shared, shingles of the item) for the items that the text contains."""
-    if not text:
-        return []
-    chunks = text.lower().translate(SPACES).split(" ")
-    h = np.fromiter((x for c in chunks for x in memo[c]), dtype=np.uint64)
-    candidates: set[int] = set()
-    for n, (keys, owners) in block.tables.items():
-        got = rolled(h, n)
-        at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-        for k in np.unique(at[keys[at] == got]):
-            candidates.update(owners[k])
-    if not candidates:
-        return []
-    w = [x for c in chunks if (x := _strip(c))]
-    own: dict[int, set[tuple[str, ...]]] = {}
-    out = []
-    for k in sorted(candidates):
-        item = block.items[k][1]
-        n = len(next(iter(item)))
-        if n not in own:
-            own[n] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-        shared = len(item & own[n])
-        if shared >= THRESHOLD * len(item) - 1e-9:
-            out.append((k, shared, len(item)))
-    return out
-
-
-def blocks(benchmark: DataFrame) -> Iterator[Sketches]:
-    """The items in blocks of at most BLOCK shingles (an item with more is a block of its own), read one partition at a time."""
-    held: list[Item] = []
-    size = 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        own = shingles(r.text)
-        if not own:
-            continue
-        if held and size + len(own) > BLOCK:
-            yield Sketches(held)
-            held, size = [], 0
-        held.append((r.item_id, own))
-        size += len(own)
-    if held:
-        yield Sketches(held)
+def sketch(words: str) -> tuple[int, list[int]]:
+    """The shingle length of an item (its words, joined by blanks), and its sketch: the least hashes, as many as the partition of its size asks for."""
+    h = np.array([chunk_hash(c.encode())[0] for c in words.split(" ")], dtype=np.uint64)
+    n = min(SHINGLE, len(h))
+    own = np.unique(rolled(h, n))
+    s = most_missing((1 << len(own).bit_length()) - 1) + 1
+    return n, own[:s].view(np.int64).tolist()
 
 
-def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, shared, item_shingles, containment for every document and item at THRESHOLD or more."""
-    spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, shared int, item_shingles int"
-    small_batches(spark)
-    out = None
-    for block in blocks(benchmark):
+def positions(bits: int) -> list[str]:
+    """The places of a hash in the filter, as SQL on `hash` and, below, in numpy."""
+    return [f"hash & {bits - 1}L", f"shiftrightunsigned(hash, 32) & {bits - 1}L", f"shiftrightunsigned(hash, 17) & {bits - 1}L"]
 
-        def run(batches, block=block):
-            memo = Hashes()
-            for b in batches:
-                rows = [(i, block.items[k][0], s, n) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, s, n in matches(t, block, memo)]
-                cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "shared", "item_shingles"])
 
-        part = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    out = spark.createDataFrame([], schema) if out is None else out
-    return out.distinct().withColumn("containment", F.round(F.col("shared") / F.col("item_shingles"), 6))
+class Filter:
+    """A Bloom filter of 64-bit hashes."""
 
+    def __init__(self, sketches: DataFrame, count: int) -> None:
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (count * BITS_PER_HASH).bit_length()))
+        at = sketches.select(F.explode(F.expr(f"array({', '.join(positions(self.bits))})")).alias("at"))
+        got = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("set")).toArrow()
+        self.words = np.zeros(self.bits // 64, dtype=np.uint64)
+        self.words[got["word"].to_numpy()] = got["set"].to_numpy().view(np.uint64)
+
+    def passed(self, h: np.ndarray) -> np.ndarray:
+        mask = np.uint64(self.bits - 1)
+        for shift in (0, 32, 17):
+            if not len(h):
+                break
+            at = (h >> np.uint64(shift)) & mask
+            h = h[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+        return h
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, item (a hash of the words), words: the items that have words."""
+
+    def start():
+        def make(cols):
+            joined = [" ".join(words(t)) for t in cols[1]]
+            return [(cols[0], pa.int64()), ([xxhash.xxh64_intdigest(w.encode()) - (1 << 63) for w in joined], pa.int64()), (joined, pa.string())]
+
+        return make
+
+    made = by_batch(benchmark.select(F.col("item_id").cast("bigint"), "text"), start, "item_id bigint, item bigint, words string")
+    return made.where("words <> ''").distinct()
+
+
+def sketches_of(items: DataFrame) -> DataFrame:
+    """item, n, hash: the sketch of every item."""
+
+    def start():
+        def make(cols):
+            made = [(i, n, h) for i, w in zip(*cols, strict=True) for n, hs in [sketch(w)] for h in hs]
+            return list(zip(list(zip(*made, strict=True)) or [()] * 3, (pa.int64(), pa.int32(), pa.int64()), strict=True))
+
+        return make
+
+    return by_batch(items.select("item", "words").distinct(), start, "item bigint, n int, hash bigint")
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that contain an item: the test is made where the text is, so nothing is shuffled. One pass a block."""
-    out = docs
-    for block in blocks(benchmark):
 
-        def start(block=block):
-            memo = Hashes()
-            return lambda text: bool(matches(text, block, memo))
+def hits(lengths: list[int], bloom: Filter) -> Callable[[], Callable[[str | None], list[int]]]:
+    """For a text, the distinct hashes of its shingles that pass the filter."""
 
-        out = append_column(out, out.columns, start, "__leak", T.BooleanType()).where("not __leak").drop("__leak")
-    return out.select(*docs.columns)
+    def start() -> Callable[[str | None], list[int]]:
+        look = Memo(chunk_hash).__getitem__
+
+        def one(text: str | None) -> list[int]:
+            h = np.fromiter(chain.from_iterable(map(look, chunks(text))), dtype=np.uint64)
+            found = [bloom.passed(rolled(h, n)) for n in lengths]
+            return np.unique(np.concatenate(found)).view(np.int64).tolist() if any(map(len, found)) else []
+
+        return one
+
+    return start
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, item, shared, item_shingles of the candidates (key, item, words, text) at THRESHOLD or more, on the shingles themselves. A text's rows come one after the
+    other: its shingles are made once."""
+    held, w, own = None, [], {}
+    for b in slices(batches):
+        out = []
+        for key, item, said, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != held:
+                held, w, own = key, words(text), {}
+            asked = said.split(" ")
+            n = min(SHINGLE, len(asked))
+            if n not in own:
+                own[n] = grams(w, n)
+            asked = grams(asked, n)
+            shared = len(asked & own[n])
+            if shared >= THRESHOLD * len(asked) - 1e-9:
+                out.append((key, item, shared, len(asked)))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "item", "shared", "item_shingles"])
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def searched(docs: DataFrame, items: DataFrame, every: bool) -> tuple[DataFrame, str, DataFrame | None]:
+    """docs written with a row key, the name of its column, and (key, item, shared, item_shingles) of the pairs at THRESHOLD or more (None without items). Unless
+    `every` row is wanted, only rows with a shingle that passes the filter are written."""
+    sketches, _ = stored(sketches_of(items), "sketches")
+    count, lengths = sketches.agg(F.count("*"), F.collect_set("n")).first()
+    if not count:
+        return docs, "", None
+    key, passed = fresh("__key", docs.columns), fresh("__hits", docs.columns)
+    made = append_column(docs, docs.columns, hits(sorted(lengths), Filter(sketches, count)), passed, T.ArrayType(T.LongType()))
+    made = made if every else made.where(F.size(passed) > 0)
+    rows, _ = stored(made.withColumn(key, F.monotonically_increasing_id()), "searched")
+    asked, _ = stored(rows.select(F.col(key).alias("key"), F.explode(passed).alias("hash")), "asked")
+    owners = sketches.select("hash", "item").join(counted(asked, "hash"), "hash")
+    pairs, _ = stored(met(asked, owners, "hash", asked.count()).select("key", "item").distinct(), "candidates")
+    said = items.select("item", "words").distinct().join(counted(pairs, "item"), "item")
+    texts = rows.where(F.size(passed) > 0).select(F.col(key).alias("key"), "text")
+    full = met(pairs, said, "item", pairs.count()).join(texts, "key").select("key", "item", "words", "text")
+    return rows.drop(passed), key, stored(full.mapInArrow(verified, "key bigint, item bigint, shared int, item_shingles int"), "contained")[0]
+
+
+def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, shared, item_shingles, containment for every document and item at THRESHOLD or more."""
+    items, _ = stored(items_of(benchmark), "items")
+    rows, key, found = searched(docs.select(F.col("doc_id").cast("bigint"), "text"), items, every=False)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, shared int, item_shingles int, containment double")
+    ids = items.select("item", "item_id").join(counted(found, "item"), "item")
+    out = met(found, ids, "item", found.count()).join(rows.select(F.col(key).alias("key"), "doc_id"), "key")
+    return out.select("doc_id", "item_id", "shared", "item_shingles").distinct().withColumn("containment", F.round(F.col("shared") / F.col("item_shingles"), 6))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that contain an item, with the columns of docs. Null and empty texts contain none and stay; repeated rows stay or go together."""
+    items, _ = stored(items_of(benchmark), "items")
+    rows, key, found = searched(docs, items, every=True)
+    if found is None:
+        return docs
+    leaks = found.select(F.col("key").alias(key)).distinct()
+    return rows.join(leaks, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

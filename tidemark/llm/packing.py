@@ -30,14 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .common import read, small_batches, stored
+from .common import Memo, read, slices, small_batches, stored
 
 CAPACITY = 2048
 CLASSES = 32
 SLACK = 1 / 64
 END_ID = 1
 TAIL_WORKERS = 128
-MEMO = 400_000
+#: The memo is emptied beyond so many bytes.
+MEMO_BYTES = 96 << 20
 #: Sequence ids: worker * SEQUENCES + its own count; tails follow after the workers.
 SEQUENCES = 1 << 40
 FIRST_TAIL = 1 << 22
@@ -51,7 +52,7 @@ class Encoder:
 
     The tokenizer's normaliser makes every white space a blank, and its pre-tokenizer splits runs of letters, single digits and runs of other signs,
     which are then encoded alone. So a text's ids are those of its chunks between white space in turn, and a word with a tail of stops is
-    the word, then the tail. Chunks are kept in a memo, which is emptied when it is full. New words of Latin letters are merged by rank: the
+    the word, then the tail. Chunks of up to 64 characters are kept in a memo, which is emptied when its bytes are over a bound. New words of Latin letters are merged by rank: the
     vocabulary's ids are in the order of its merges and each of its pieces is what its own bytes merge to, so merging the pair of
     least rank gives the tokenizer's ids; the end of a word is a byte that UTF-8 never has. All else goes to the tokenizer."""
 
@@ -60,6 +61,7 @@ class Encoder:
         model = json.loads(self.tokenizer.to_str())["model"]
         vocabulary = model["vocab"]
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.merged = None
         if all(vocabulary["".join(pair)] == len(vocabulary) - len(model["merges"]) + k for k, pair in enumerate(model["merges"])):
             ranks = {piece_bytes(piece): i for piece, i in vocabulary.items()}
@@ -77,10 +79,12 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of all these chunks in the memo."""
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo = self.memo
         new = chunks.difference(memo)
+        self.held += 250 * len(new) + 8 * sum(map(len, new))
         split = [(c, core) for c in new if (core := c.rstrip(STOPS)) and (w := core.lower()).isalpha() and max(w) < LATIN]
         plain = {c for c, _ in split}
         found = list({core.lower() for _, core in split}.difference(memo))
@@ -96,9 +100,14 @@ class Encoder:
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text and END_ID."""
         split = [chunked(t) for t in texts]
-        self.learn(set().union(*split))
+        chunks = set().union(*split)
+        self.learn(chunks)
         look, end = self.memo.__getitem__, END_ID.to_bytes(4, "little")
-        return [b"".join(map(look, c)) + end for c in split]
+        out = [b"".join(map(look, c)) + end for c in split]
+        for c in chunks:  # a text without blanks is one chunk, of any length
+            if len(c) > Memo.LONGEST:
+                del self.memo[c]
+        return out
 
 
 #: Runs of these after a word of letters are one pre-token of their own.
@@ -200,8 +209,7 @@ def _placed(pieces: list[tuple], sequence: int) -> Iterator[tuple]:
 
 def packed(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request ids (bytes, four little-endian ones an id)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     schema, names = SCHEMA + ", ids binary" * with_ids, [*NAMES, *["ids"] * with_ids]
     kinds = [*[pa.int64()] * 7, pa.int32(), *[pa.binary()] * with_ids]
@@ -212,7 +220,7 @@ def packed(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY, to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fill, worker, made = encoder(path).texts, Filler(capacity), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 start = 0

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import append_column, by_batch, is_held_out, labelled_sample, read
+from .common import Memo, append_column, by_batch, fitted, fresh, is_held_out, labelled_sample, read
 from .ftrl import Ftrl, sigmoid
 
 BITS = 18
@@ -27,28 +27,23 @@ BITS = 18
 SAMPLE = 8_000
 EPOCHS = 3
 SCALE = 10.0
-MEMO = 200_000
 THRESHOLD = 0.3
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CAPS, SAME = zlib.crc32(b"<caps>"), zlib.crc32(b"<same>")
 
 
-class Tokens(dict):
-    """Hashes of the tokens of a white-space separated chunk, kept for the chunks met so far."""
+def token_hashes(chunk: str) -> tuple[int, ...]:
+    """Hashes of the tokens of a white-space separated chunk."""
+    out: list[int] = []
+    for t in TOKEN.findall(chunk):
+        if len(t) > 1 and t.isupper():
+            out.append(CAPS)
+        out.append(zlib.crc32(t.lower().encode("utf-8", "replace")))
+    return tuple(out)
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for t in TOKEN.findall(chunk):
-            if len(t) > 1 and t.isupper():
-                out.append(CAPS)
-            out.append(zlib.crc32(t.lower().encode("utf-8", "replace")))
-        if len(self) < MEMO:
-            self[chunk] = tuple(out)
-        return tuple(out)
 
-
-def ngrams(text: str | None, memo: Tokens) -> np.ndarray:
+def ngrams(text: str | None, memo: Memo) -> np.ndarray:
     """Coordinates (1 and above, with repeats) of the text's tokens and pairs."""
     h = np.fromiter(chain.from_iterable(map(memo.__getitem__, (text or "").split())), dtype=np.uint64)
     s = h.copy()
@@ -58,32 +53,39 @@ def ngrams(text: str | None, memo: Tokens) -> np.ndarray:
     return np.maximum(np.concatenate([one, two]) >> np.uint64(64 - BITS), 1).astype(np.int64)
 
 
-def sparse(text: str | None, memo: Tokens) -> tuple[np.ndarray, np.ndarray]:
+def sparse(text: str | None, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     at = ngrams(text, memo)
     u, c = np.unique(at, return_counts=True)
     return np.concatenate([[0], u]), np.concatenate([[1.0], c * (SCALE / max(len(at), 1))])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Fit on a bounded sample of labelled rows that are not held out; sparse vectors are made on the executors."""
+    """Fit on a bounded sample of labelled rows that are not held out, in one task; sparse vectors are made in the tasks that read the texts."""
     picked = labelled_sample(docs, labels, "quality", sample)
 
     def start():
-        memo = Tokens()
+        memo = Memo(token_hashes)
 
         def make(cols):
             vectors = [sparse(t, memo) for t in cols[1]]
-            return [(cols[0], pa.int64()), ([v[0].astype(np.int32) for v in vectors], pa.list_(pa.int32())), ([v[1].astype(np.float32) for v in vectors], pa.list_(pa.float32())), (cols[2], pa.int32())]
+            idx, x = [v[0].astype(np.int32) for v in vectors], [v[1].astype(np.float32) for v in vectors]
+            return [(cols[0], pa.int64()), (cols[2], pa.int64()), (idx, pa.list_(pa.int32())), (x, pa.list_(pa.float32())), (cols[3], pa.int32())]
 
         return make
 
-    got = by_batch(picked, start, "doc_id bigint, idx array<int>, x array<float>, y int").toArrow()
-    rows = [(i, r.values.to_numpy(), v.values.to_numpy(), y) for i, r, v, y in zip(got["doc_id"].to_pylist(), got["idx"], got["x"], got["y"].to_pylist(), strict=True)]
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], len(r[1])))
+    def learn(got: pa.Table) -> np.ndarray:
+        cols = [got[c] for c in ("idx", "x", "y")] if got.num_rows else [()] * 3
+        return fit([(i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64), y.as_py()) for i, x, y in zip(*cols, strict=True)])
+
+    return fitted(by_batch(picked, start, "doc_id bigint, tie bigint, idx array<int>, x array<float>, y int"), sample, learn)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights from (coordinates, values, label) rows."""
     model = Ftrl(1 << BITS, alpha=1.0, l1=0.1)
-    for _ in range(EPOCHS):
-        for _, idx, x, y in rows:
-            model.learn(idx.astype(np.int64), x.astype(np.float64), y)
+    for _ in range(epochs):
+        for idx, x, y in rows:
+            model.learn(idx, x, y)
     return model.weights()
 
 
@@ -92,7 +94,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "sc
     small = weights.astype(np.float32)
 
     def start():
-        memo, w = Tokens(), small.astype(np.float64)
+        memo, w = Memo(token_hashes), small.astype(np.float64)
 
         def one(text: str | None) -> float:
             at = ngrams(text, memo)
@@ -109,6 +111,14 @@ def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, s
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs scored at or over the threshold, with the columns of docs.
+
+    Null and empty texts get the bias alone; repeated rows stay or go together; without labels all scores are 0.5, so all stay."""
+    name = fresh("__quality", docs.columns)
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) >= THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")

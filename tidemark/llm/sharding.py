@@ -6,8 +6,11 @@ tell between which two probes a splitter lies. Probes are refined there until a
 key lies between. Then rows are exchanged once, straight to their part.
 
 The key is (XXH64 of the text, doc_id, place): equal texts are neighbours. Boundaries between texts are tried first, so equal texts share
-a shard unless a splitter falls among more copies than the tolerance allows: then it falls between ids, or between repeated rows. Shards are
-ranges of parts of at most PART_BYTES, found by the same counting, so no task holds a shard and slots need no second pass.
+a shard unless a splitter falls among more copies than the tolerance allows: then it falls between ids, or between repeated rows.
+
+The driver holds probes and counts of the SHARDS - 1 splitters alone, however large the table is. The exchange is Spark's range exchange by (shard, key)
+into parts of about PART_ROWS skinny rows, so no task holds a shard; a row's slot is its place in its part plus the rows of its shard in the parts
+before, which are added up from one count for each part.
 
 Defined results: a null text has size 1, and the CRC and hash of an empty one; null ids come first among equal texts; repeated rows get slots of
 their own; an empty table gives an empty table; other columns are ignored.
@@ -21,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import read, small_batches, stored
+from .common import read, slices, small_batches, stored
 
 SHARDS = 8
 #: Of a shard's bytes: how far a splitter's count may be from its target.
 TOLERANCE = 0.01
-#: Parts are wider: they bound a task, not the result.
-PART_TOLERANCE = 0.25
-PART_BYTES = 64 << 20
+#: Rows of a part (of about 50 bytes each).
+PART_ROWS = 1 << 20
+#: Counts of parts (24 bytes each) are broadcast up to so many.
+BROADCAST_PARTS = 1_000_000
 PROBES = 32
 LOW = -(1 << 63)
 Key = tuple[int, int, int]
@@ -57,7 +62,7 @@ def skinny(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
             h = np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(h)], names=["doc_id", "size", "text_crc32", "k0"])
@@ -94,12 +99,14 @@ def _refined(low: Key, high: Key, n: int) -> list[Key]:
     return [low, *((*low[:level], v, *[LOW] * (LEVELS - 1 - level)) for v in at), (*high[:-1], high[-1] + 1)]
 
 
-def splitters(rows: DataFrame, targets: list[tuple[int, int]], most_rounds: int = 80) -> dict[int, tuple[Key, int, int]]:
-    """For each (target bytes, allowed error): a key, with the exact bytes and rows below it, whose bytes are within the error or that is the nearest border between rows."""
+def splitters(rows: DataFrame, targets: list[tuple[int, int]]) -> dict[int, tuple[Key, int, int]]:
+    """For each (target bytes, allowed error): a key, with the exact bytes and rows below it, whose bytes are within the error or that is the nearest border between rows.
+
+    A round cuts the keys between which a splitter lies to a 32nd, and a key has 3 times 64 bits: some 40 rounds settle any table."""
     probes: list[Key] = [(LOW + ((k << 64) // 1024), LOW, LOW) for k in range(1, 1024)]
     known: dict[Key, tuple[int, int]] = {}
     out: dict[int, tuple[Key, int, int]] = {}
-    for _ in range(most_rounds):
+    while True:
         probes = sorted(set(probes))
         got = counted(rows, probes)
         bytes_, count, below_probe = 0, 0, []
@@ -126,36 +133,42 @@ def splitters(rows: DataFrame, targets: list[tuple[int, int]], most_rounds: int
         if not new:
             return out
         probes = new
-    raise RuntimeError("splitters did not settle")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, part_bytes: int = PART_BYTES) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     rows, _ = stored(skinny(docs), "keys")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    per = max(1, -(-total // (shards * part_bytes)))
-    n = shards * per
-    targets = [(total * k // n, int(total / shards * TOLERANCE) if k % per == 0 else int(total / n * PART_TOLERANCE)) for k in range(1, n)] if total else []
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    targets = [(total * k // shards, int(total / shards * TOLERANCE)) for k in range(1, shards)] if total else []
     found = splitters(rows, targets) if targets else {}
-    cuts = [found[t] for t, _ in targets] or [((LOW, LOW, LOW), 0, 0)] * (n - 1)
-    for k in range(1, n):  # parts may settle loosely, even beyond a border of their shard: those hold
-        if k % per:
-            left, right = (cuts[k - k % per - 1] if k > per else None), (cuts[k - k % per + per - 1] if k - k % per + per < n else None)
-            cuts[k - 1] = min((x for x in (max((x for x in (cuts[k - 1], left) if x), key=lambda c: c[0]), right) if x), key=lambda c: c[0])
-    cuts.sort(key=lambda c: c[0])
-    borders = [c[0] for c in cuts]
+    borders = sorted(found[t][0] for t, _ in targets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = below([b.column(c).to_numpy() for c in ("k0", "k1", "k2")], borders)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard.astype(np.int32))], names=[*b.schema.names, "shard"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), -1, 0
         for b in batches:
-            part = below([b.column(c).to_numpy() for c in ("k0", "k1", "k2")], borders)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], names=[*b.schema.names, "part"])
-
-    placed = rows.mapInArrow(run, "doc_id bigint, size bigint, text_crc32 bigint, k0 bigint, k1 bigint, k2 bigint, part int")
-    before = [0, *(c[2] for c in cuts)]
-    first = F.array(*[F.lit(before[k] - before[k - k % per]).cast("bigint") for k in range(n)])
-    within = F.row_number().over(Window.partitionBy("part").orderBy("k0", "k1", "k2")) - 1
-    out = placed.repartition(n, "part").withColumn("slot", within + F.get(first, "part"))
-    return out.select("doc_id", "size", "text_crc32", F.expr(f"part div {per}").cast("int").alias("shard"), "slot")
+            shard = b.column("shard").to_numpy()
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            at = np.arange(len(shard)) - starts[np.searchsorted(starts, np.arange(len(shard)), side="right") - 1]
+            if len(shard) and shard[0] == last:  # goes on where the batch before ended
+                at[: starts[1] if len(starts) > 1 else len(at)] += seen
+            if len(shard):
+                last, seen = int(shard[-1]), int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "size", "text_crc32", "shard")), pa.array(np.full(len(shard), part)), pa.array(at)], names=["doc_id", "size", "text_crc32", "shard", "part", "at"])
+
+    order = ["shard", "k0", "k1", "k2"]
+    placed = rows.mapInArrow(place, "doc_id bigint, size bigint, text_crc32 bigint, k0 bigint, k1 bigint, k2 bigint, shard int")
+    parts = placed.repartitionByRange(max(1, shards, -(-count // part_rows)), *order).sortWithinPartitions(*order)
+    numbered, _ = stored(parts.mapInArrow(number, "doc_id bigint, size bigint, text_crc32 bigint, shard int, part bigint, at bigint"), "numbered")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    small = -(-count // part_rows) + 2 * shards <= BROADCAST_PARTS  # a shard has all rows of its parts but for those at its ends
+    out = numbered.join(F.broadcast(counts) if small else counts, ["shard", "part"])
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at")).alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
