@@ -13,7 +13,7 @@ t_i of its own, and hits are verified on all bits. m is chosen by the same estim
 The estimate needs how often each value of up to 16 bits occurs: a bounded number of tables of counts, whatever the size of the corpus. Cost is PROBE_COST for each probe and 1 for each candidate.
 
 Hot values (over HOT fingerprints or probes): members and probes are dealt to tiles of about TILE by TILE; each tile is
-verified in blocks and gives back a spanning forest of its links, not all pairs, so a large group of near copies makes few rows and no task
+verified in blocks and gives back what its links connect, each id with the least one, so a large group of near copies makes few rows and no task
 holds it. Nothing is dropped: every probe meets every member in just one tile.
 """
 
@@ -56,7 +56,7 @@ class Search:
 FINGERPRINT = Search(words=1, radius=RADIUS, first=RADIUS, most=RADIUS, threshold=RADIUS, piece=16)
 #: Candidates for a similarity of 0.8: bits then differ with a probability of 0.15 (an angle of 27 degrees), 77 of 512 with a deviation of 8. Unrelated texts differ in 256,
 #: with a deviation of 11. Every pair within 35 bits is probed, and others as far as they agree in a partition: a pair at 0.8 does with a probability of 0.97, one at 0.85 of 0.99.
-WIDE = Search(words=8, radius=35, first=22, most=104, threshold=1, piece=8)
+WIDE = Search(words=8, radius=35, first=20, most=104, threshold=1, piece=8)
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -276,6 +276,23 @@ def forest(q: np.ndarray, x: np.ndarray, radius: int = RADIUS) -> list[tuple[int
     return out
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(id, least id) for what the links a - b connect: tiles that hold the same ids then give the same rows, and these collapse."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return np.array([(x, top(x)) for x in parent if top(x) != x], dtype=np.int64).reshape(-1, 2)
+
+
 def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
     """(a, b): ids whose links reach what all probed pairs within search.most bits reach. distinct: id, fp (array of search.words longs), each fp once."""
     plan = planned(distinct, search)
@@ -332,8 +349,8 @@ def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
         ids, side, fp = table["id"].to_numpy(), table["side"].to_numpy(), words_of(table["fp"].combine_chunks(), search.words)
         qi, xi = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         got = np.array(forest(fp[qi], fp[xi], search.most) if len(qi) and len(xi) else [], dtype=np.int64).reshape(-1, 2)
-        a, b = ids[qi][got[:, 0]], ids[xi][got[:, 1]]
-        return pa.table({"a": a[a != b], "b": b[a != b]})
+        made = stars(ids[qi][got[:, 0]], ids[xi][got[:, 1]])
+        return pa.table({"a": made[:, 0], "b": made[:, 1]})
 
     tiles = dealt(q, 0).unionByName(dealt(x, 1)).join(distinct.select("id", "fp"), "id")
     return found.unionByName(tiles.groupBy(*key, "iq", "ix").applyInArrow(of_tile, "a bigint, b bigint"))
