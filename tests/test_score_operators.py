@@ -282,8 +282,18 @@ def test_resume_after_failures(spark, tmp_path):
     assert incremental.score_pending(clips, out, "lookup", scores={k: v for k, v in known.items() if k[1] < 32}) == (2, 3)
     assert incremental.score_pending(clips, out, "lookup", scores=known) == (2, 1)
     assert incremental.score_pending(clips, out, "lookup", scores=known) == (0, 1)
-    got = spark.read.parquet(f"{out}/scores")
-    assert {(r.video_id, r.center_frame): r.score for r in got.collect()} == known and got.count() == 4
+    got = {(r.video_id, r.center_frame): r.score for r in incremental.scores(spark, out).collect()}
+    assert got == known | {("v", 64): 0.5}  # a failure keeps the default score, and its error until it succeeds
+    assert [(r.center_frame, r.error.split(":")[0]) for r in incremental.errors(spark, out).collect()] == [(64, "KeyError")]
+    assert incremental.score_pending(clips, out, "lookup", scores=known | {("v", 64): 0.9}) == (1, 0)
+    assert incremental.errors(spark, out).count() == 0 and incremental.results(spark, out).count() == 10
+    assert N.claim(spark, out)
+    with pytest.raises(RuntimeError):
+        incremental.score_pending(clips, out, "lookup", scores=known)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "results").write_text("no table")
+    with pytest.raises(Exception):  # noqa: B017  whatever Spark says of it: a fault of the storage is not "nothing yet"
+        incremental.score_pending(clips, str(tmp_path / "broken"), "lookup", scores=known)
     with pytest.raises(ValueError):
         backends.resolve("none")
 
@@ -294,7 +304,7 @@ def test_stream_scores_each_clip_once(spark, tmp_path):
     for part in (range(3), range(2, 6)):
         spark.createDataFrame([("v", k) for k in part], "video_id string, center_frame bigint").write.mode("append").parquet(source)
         incremental.score_stream(spark, source, "video_id string, center_frame bigint", out, "lookup", scores=known)
-    assert spark.read.parquet(f"{out}/scores").count() == 6
+    assert incremental.scores(spark, out).count() == incremental.results(spark, out).count() == 6
 
 
 def test_completeness(spark):
@@ -323,3 +333,70 @@ def test_resamples(spark):
     got = d.groupBy("rep").agg(F.sum("times").alias("n")).collect()
     assert len(got) == 20 and all(r.n == 30 for r in got)
     assert sorted(map(tuple, d.collect())) == sorted(map(tuple, M.resamples(v, 20).collect()))
+
+
+def test_flat_score_refuses_what_is_not_flat(spark):
+    from tidemark.functions import ordinal as O
+
+    def raw(rows):
+        return spark.createDataFrame([(rows,)], "raw array<struct<a:double,b:double>>").select(O.flat_expectation("raw").alias("s"))
+
+    fine = [(0.1 * k, 0.0) for k in range(22)]
+    assert 0 <= raw(fine).first().s <= 1
+    for bad in (fine[:20], [*fine[:21], (float("nan"), 0.0)], [*fine[:21], (None, 0.0)], [*fine[:21], (float("inf"), 0.0)]):
+        with pytest.raises(Exception, match="22 rows"):
+            raw(bad).collect()
+    with pytest.raises(ValueError):
+        O.flat_expectation("raw", 2.0)
+
+
+def test_ordered_scores(spark):
+    rows = spark.createDataFrame([("v", 0, 0, 0.5), ("v", 1, 16, 1.0)], "video_id string, clip_idx int, center_frame bigint, score double")
+    assert Q.ordered_scores(rows, "clip_idx").count() == 2
+    for bad in (("v", 2, 16, 0.5), ("v", 2, 32, 1.1), ("v", 2, 32, float("inf")), ("v", 2, 32, None)):
+        with pytest.raises(ValueError):
+            Q.ordered_scores(rows.union(spark.createDataFrame([bad], rows.schema)), "clip_idx")
+
+
+def test_quantiles_and_ranks(spark):
+    from tidemark.operators import diagnostics as D
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=500), 2)
+    df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(x)] + [(0, None)], "g int, v double")
+    got = {r.g: r for r in M.quantiles(df, "v", {"low": 0.1, "mid": 0.5, "top": 1.0}, ["g"]).collect()}
+    for g in range(3):
+        assert np.allclose([got[g].low, got[g].mid, got[g].top], np.quantile(x[np.arange(500) % 3 == g], [0.1, 0.5, 1.0]))
+    ranks = D.percentile_rank(spark.createDataFrame([(1.0,), (1.0,), (2.0,), (None,)], "v double"), "v", "p").collect()
+    assert sorted(((r.v is None, r.p) for r in ranks), key=str) == sorted([(False, 0.25), (False, 0.25), (False, 1.0), (True, None)], key=str)
+
+
+def test_names_of_videos_come_from_one_place(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for n in ("b.mp4", "deep/a.MKV", "deep/x.txt"):
+        (tmp_path / n).write_bytes(b"x")
+    (tmp_path / "index.txt").write_text("set/a.mp4 0 47 1\n")
+    assert [r.video_id for r in readers.video_names(spark, folder=str(tmp_path)).collect()] == ["b", "a"]
+    assert [r.video_id for r in readers.video_names(spark, index=str(tmp_path / "index.txt")).collect()] == ["a"]
+    assert [r.video_id for r in readers.video_names(spark, names=["q/z.avi"]).collect()] == ["z"]
+    for bad in ({}, {"folder": "x", "names": []}):
+        with pytest.raises(ValueError):
+            readers.video_names(spark, **bad)
+
+
+def test_report_that_leaves_nothing_out(spark, tmp_path):
+    assert writers.markdown(spark.range(3), most=3).count("\n") == 5
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(4), most=3)
+    writers.write_metrics(spark.createDataFrame([(0.5, 2)], "auc double, n int"), str(tmp_path / "m"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "m")).collect()) == ["auc: 0.5", "n: 2"]
+    writers.write_csv(spark.range(2), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_prompt_registry():
+    assert len(P.PROMPTS) == 5 and P.prompt_spec("terse").question(0.25) == "Anomaly >= 0.2?"
+    with pytest.raises(ValueError):
+        P.prompt_spec("none")
+    with pytest.raises(ValueError):
+        P.PromptSpec("x", "s", "no slot")

@@ -103,6 +103,29 @@ def flat_margins(raw: Column | str) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.size(raw) / 2).cast("int") - 1), lambda k: ((at(2 * k + 1)["a"] - at(2 * k + 1)["b"]) + (at(2 * k + 2)["b"] - at(2 * k + 2)["a"])) / 2.0)
 
 
+def flat_expectation(raw: Column | str, temperature: float = 1.0) -> Column:
+    """Expected level under the softmax of the 11 margins of 22 (A, B) rows. Another number of rows, a value that is not finite and a temperature other than 1 are errors."""
+    if temperature != 1.0:
+        raise ValueError("the flat score is defined at temperature 1")
+    raw = _c(raw)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    fine = (F.size(raw) == 22) & F.forall(raw, lambda r: F.coalesce(finite(r["a"]) & finite(r["b"]), F.lit(False)))
+    return F.when(F.coalesce(fine, F.lit(False)), expectation(flat_margins(raw))).otherwise(F.raise_error(F.lit("a flat score needs 22 rows of finite values")).cast("double"))
+
+
+def window_valid(score: Column | str, raw: Column | str, margins: Column | str, weights: Column | str, tolerance: float = 1e-10) -> Column:
+    """Whether a stored score is in 0..1 and, like every stored margin and softmax weight, what its 22 rows give."""
+    made, raw = flat_margins(raw), _c(raw)
+    same = lambda a, b: (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(F.abs(x - y) < tolerance, F.lit(False))), lambda x: x)
+    near = _c(score).between(0.0, 1.0) & (F.abs(_c(score) - expectation(made)) < tolerance)
+    return F.coalesce((F.size(raw) == 22) & near & same(_c(margins), made) & same(_c(weights), softmax(made)), F.lit(False))
+
+
+def half_even(x: Column | str, places: int) -> Column:
+    """Rounded to places, halves to the even digit."""
+    return F.bround(_c(x), places)
+
+
 def sequence_log_likelihood(token_log_probs: Column | str, average: bool = False) -> Column:
     a = _c(token_log_probs)
     return mean(a) if average else total(a)
@@ -124,6 +147,12 @@ def common_prefix(a: Column | str, b: Column | str) -> Column:
     return F.when(n == 0, F.lit(0)).when(first == 0, n).otherwise(first - 1).cast("int")
 
 
+def common_prefix_of(sequences: Column | str) -> Column:
+    """Length of the longest common prefix of an array of arrays; null without any."""
+    s = _c(sequences)
+    return F.array_min(F.transform(s, lambda x: common_prefix(F.get(s, F.lit(0)), x)))
+
+
 def binary_entropy(a: Column | str) -> Column:
     """Mean entropy of the probabilities, over ln 2."""
     p = F.transform(_c(a), lambda x: F.greatest(F.lit(EPSILON), F.least(F.lit(1.0 - EPSILON), x)))

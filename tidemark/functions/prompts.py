@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLOT = "{threshold}"
 
@@ -38,3 +40,42 @@ def conversation(system: Column, user: Column) -> Column:
     """ARRAY<STRUCT<role, content>>; a null or blank system text is left out."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return F.filter(F.array(turn("system", F.coalesce(system, F.lit(""))), turn("user", user)), lambda t: (t["role"] == "user") | (F.trim(t["content"]) != ""))
+
+
+@dataclass(frozen=True)
+class PromptSpec:
+    """A prompt by name: what the model is told it is, and a question with one slot for the threshold."""
+
+    name: str
+    system: str
+    template: str
+
+    def __post_init__(self) -> None:
+        checked(self.template)
+
+    def question(self, threshold: float) -> str:
+        return self.template.replace(SLOT, f"{threshold:.1f}")
+
+
+#: The variants of a prompt study: the plain question, a paraphrase, a terse one, one that names what counts, one in another voice.
+PROMPTS = {
+    p.name: p
+    for p in (
+        PromptSpec("plain", "You judge short video clips.", "Is the anomaly level of this clip at least {threshold}?"),
+        PromptSpec("paraphrase", "You judge short video clips.", "Would you rate how unusual this clip is at {threshold} or more?"),
+        PromptSpec("terse", "Answer yes or no.", "Anomaly >= {threshold}?"),
+        PromptSpec("explicit", "You look for violence, accidents and crime.", "Counting violence, accidents and crime alone, does this clip reach a level of {threshold}?"),
+        PromptSpec("observer", "You watch a surveillance camera.", "As the person on duty, would you raise an alarm set to level {threshold}?"),
+    )
+}
+
+
+def prompt_spec(name: str) -> PromptSpec:
+    if name not in PROMPTS:
+        raise ValueError(f"unknown prompt {name!r}; known: {', '.join(sorted(PROMPTS))}")
+    return PROMPTS[name]
+
+
+def prompt_suite(spark: SparkSession) -> DataFrame:
+    """name, system, template of all prompts."""
+    return spark.createDataFrame([(p.name, p.system, p.template) for p in PROMPTS.values()], "name string, system string, template string")

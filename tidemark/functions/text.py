@@ -49,8 +49,9 @@ def usable_phrase(text: Column) -> Column:
 
 
 def phrase_list(text: Column) -> Column:
-    """A JSON array of phrases as one text, joined by ', '; an empty or unreadable one is 'none'."""
-    made = F.from_json(text, "array<string>")
+    """A list of phrases (JSON or a literal with single quotes, escapes or round brackets) as one text, joined by ', '; an empty one is 'none', what is no list stays as it is."""
+    square = F.regexp_replace(F.regexp_replace(F.trim(text), r"^\(", "["), r",?\s*\)$", "]")
+    made = F.from_json(square, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})
     kept = F.filter(made, lambda x: F.trim(x) != "")
     return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: F.trim(x)), ", ")).when(made.isNotNull() | (F.coalesce(F.trim(text), F.lit("")) == ""), "none").otherwise(F.trim(text))
 

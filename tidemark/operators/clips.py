@@ -25,6 +25,24 @@ def uniform_targets(start: Column, end: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: start + (end - start) * k / max(n - 1, 1))
 
 
+def whole_targets(start: Column, end: Column, n: int) -> Column:
+    """n whole numbers from start to end, both included, evenly spread and cut down."""
+    return F.transform(uniform_targets(start, end, n), lambda x: F.floor(x))
+
+
+def temporal_bins(frames: DataFrame, bins: int = 5, edge: float = 1e-9) -> DataFrame:
+    """video_id, bin, n, t: of equal bins between a video's first and last frame time, how many frames lie in it and the time of the one nearest to its middle (the earlier of equals). The last
+    bin holds its right edge; a bin without frames takes the nearest frame of all. frames: video_id, t. One aggregate by video: no join of frames with bins."""
+    ends = frames.groupBy("video_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    width = (F.col("t1") - F.col("t0")) / bins
+    rows = frames.join(ends, "video_id").withColumn("__bin", F.when(width <= 0, 0).otherwise(F.least(F.floor((F.col("t") - F.col("t0")) / width + edge), F.lit(bins - 1))))
+    away = lambda k: F.abs(F.col("t") - (F.col("t0") + width * (k + 0.5)))
+    pick = lambda k: F.min(F.struct((F.col("__bin") != k).alias("out"), F.round(away(k), 9).alias("away"), F.col("t").alias("t")))
+    got = rows.groupBy("video_id").agg(*[F.count_if(F.col("__bin") == k).alias(f"n{k}") for k in range(bins)], *[pick(k).alias(f"p{k}") for k in range(bins)])
+    each = F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k}").alias("n"), F.col(f"p{k}.t").alias("t")) for k in range(bins)])
+    return got.select("video_id", F.inline(each))
+
+
 def percentile_band(scores: DataFrame, low: float, high: float) -> DataFrame:
     """Rows of each video whose rank by (score, center) is in [floor(low n), max(ceil(high n), first + 1)), with rank and percentile."""
     by = Window.partitionBy("video_id")

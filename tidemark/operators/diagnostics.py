@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .metrics import average_ranks
+from .metrics import average_ranks, quantiles
 
 NAN = float("nan")
 
@@ -12,7 +12,8 @@ NAN = float("nan")
 def binned_residual(rows: DataFrame, score: str = "score", value: str = "entropy", bins: int = 20) -> DataFrame:
     """rows with bin, expected and residual: value minus its mean within equal-frequency score bins. Edges are the distinct quantiles of the
     score; a bin is how many inner edges are at or below the score; with two edges or fewer all is one bin."""
-    edges = rows.agg(F.array_sort(F.array_distinct(F.percentile(score, F.array(*[F.lit(k / bins) for k in range(bins + 1)])))).alias("__e"))
+    cuts = quantiles(rows, score, {f"q{k}": k / bins for k in range(bins + 1)})
+    edges = cuts.select(F.array_sort(F.array_distinct(F.array(*cuts.columns))).alias("__e"))
     inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
     placed = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(score)))).drop("__e")
     means = placed.groupBy("bin").agg(F.avg(value).alias("expected"))
@@ -20,10 +21,10 @@ def binned_residual(rows: DataFrame, score: str = "score", value: str = "entropy
 
 
 def percentile_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows with name: (average rank - 1) / (n - 1); 0 for one row."""
-    n = rows.agg(F.count("*").alias("__n"))
+    """rows with name: (average rank - 1) / (n - 1) among the rows that have a value; 0 for one row, null for a null."""
+    n = rows.agg(F.count(column).alias("__n"))
     ranked = average_ranks(rows, [], [column]).crossJoin(F.broadcast(n))
-    return ranked.withColumn(name, F.when(F.col("__n") <= 1, 0.0).otherwise((F.col(f"r_{column}") - 1) / (F.col("__n") - 1))).drop(f"r_{column}", "__n")
+    return ranked.withColumn(name, F.when(F.col(f"r_{column}").isNotNull() & (F.col("__n") <= 1), 0.0).otherwise((F.col(f"r_{column}") - 1) / (F.col("__n") - 1))).drop(f"r_{column}", "__n")
 
 
 def kind(label: Column, predicted: Column) -> Column:
@@ -33,9 +34,10 @@ def kind(label: Column, predicted: Column) -> Column:
 
 def error_summary(rows: DataFrame, value: str, quantile: float = 0.9) -> DataFrame:
     """kind, count, mean, median, q75, high_fraction for each of the four kinds (NaN for an empty one). high: value at or over its quantile."""
-    cut = rows.agg(F.percentile(value, quantile).alias("__cut"))
+    cut = quantiles(rows, value, {"__cut": quantile})
     g = rows.crossJoin(F.broadcast(cut)).withColumn("__high", (F.col(value) >= F.col("__cut")).cast("double")).groupBy("kind")
-    got = g.agg(F.count("*").alias("count"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.75).alias("q75"), F.avg("__high").alias("high_fraction"))
+    got = g.agg(F.count("*").alias("count"), F.avg(value).alias("mean"), F.avg("__high").alias("high_fraction"))
+    got = got.join(quantiles(rows, value, {"median": 0.5, "q75": 0.75}, ["kind"]), "kind", "left")
     names = rows.sparkSession.createDataFrame([(k,) for k in ("TN", "FP", "FN", "TP")], "kind string")
     nan = [F.coalesce(c, F.lit(NAN)).alias(c) for c in ("mean", "median", "q75", "high_fraction")]
     return names.join(got, "kind", "left").select("kind", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), *nan)
@@ -43,7 +45,7 @@ def error_summary(rows: DataFrame, value: str, quantile: float = 0.9) -> DataFra
 
 def high_error(rows: DataFrame, value: str, quantile: float = 0.9) -> DataFrame:
     """cutoff, high_fraction, error_rate, high_error_rate, enrichment: how errors gather where value is high."""
-    cut = rows.agg(F.percentile(value, quantile).alias("cutoff"))
+    cut = quantiles(rows, value, {"cutoff": quantile})
     r = rows.crossJoin(F.broadcast(cut)).select("cutoff", F.col("kind").isin("FP", "FN").cast("double").alias("e"), (F.col(value) >= F.col("cutoff")).alias("h"))
     out = r.groupBy("cutoff").agg(F.avg(F.col("h").cast("double")).alias("high_fraction"), F.avg("e").alias("error_rate"), F.avg(F.when(F.col("h"), F.col("e"))).alias("high_error_rate"))
     return out.withColumn("enrichment", F.coalesce(F.try_divide("high_error_rate", "error_rate"), F.lit(NAN)))
@@ -69,7 +71,9 @@ def delta_summary(pairs: DataFrame) -> DataFrame:
     """count, mean, median and mean absolute change of b against a, and the shares raised and lowered."""
     d = pairs.select((F.col("b") - F.col("a")).alias("d"))
     share = lambda c: F.avg(c.cast("double"))
-    return d.agg(F.count("*").alias("count"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.avg(F.abs("d")).alias("mean_abs"), share(F.col("d") > 0).alias("raised"), share(F.col("d") < 0).alias("lowered"))
+    middle = quantiles(d, "d", {"median": 0.5})
+    got = d.agg(F.count("*").alias("count"), F.avg("d").alias("mean"), F.avg(F.abs("d")).alias("mean_abs"), share(F.col("d") > 0).alias("raised"), share(F.col("d") < 0).alias("lowered"))
+    return got.join(F.broadcast(middle), how="left").select("count", "mean", "median", "mean_abs", "raised", "lowered")
 
 
 def pava_summary(rows: DataFrame) -> DataFrame:

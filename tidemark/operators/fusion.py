@@ -15,6 +15,15 @@ def adjacent_mean(clips: DataFrame, reach: int = 1) -> DataFrame:
     return clips.withColumn("score", F.avg("score").over(near))
 
 
+def adjacent_median(clips: DataFrame, reach: int = 1) -> DataFrame:
+    """score as the median of the clip and `reach` neighbours on either side, fewer at the ends; of an even number, the mean of the middle two."""
+    near = Window.partitionBy("video_id").orderBy("clip_idx").rowsBetween(-reach, reach)
+    rows = clips.withColumn("__near", F.array_sort(F.collect_list("score").over(near)))
+    at = lambda k: F.element_at("__near", k.cast("int"))
+    n = F.size("__near")
+    return rows.withColumn("score", (at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2).drop("__near")
+
+
 def neighbours(clips: DataFrame, seconds: float) -> DataFrame:
     """clips with near: array of (score, d) of the clips within seconds / 2 (and EPSILON) of its time, in order of time, itself included.
 
@@ -84,6 +93,7 @@ def fused_runs(initial: DataFrame, refined: DataFrame, alpha: float = 0.3) -> Da
 #: Fusion by name: each takes clips and gives clips.
 MODES = {
     "adjacent_mean": adjacent_mean,
+    "adjacent_median": adjacent_median,
     "overlap_mean": overlap_mean,
     "overlap_logit": lambda clips: overlap_mean(clips, logits=True),
     "adaptive": adaptive,

@@ -32,6 +32,25 @@ def curve(rows: DataFrame, by: list[str] = (), score: str = "score", pos: str =
     return running(per, list(by), "score", {"tp": "pos", "fp": "neg"}).withColumnsRenamed({"run_tp": "tp", "run_fp": "fp", "all_tp": "P", "all_fp": "N"})
 
 
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """by, and a column for each share: the exact quantile, interpolated between neighbours; nulls do not count. Values are counted and summed by ranges, so no task holds them all."""
+    by = list(by)
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    run = running(per, by, "__v", {"n": "__n"}).withColumn("__before", F.col("all_n") - F.col("run_n"))
+    place = lambda q: F.lit(float(q)) * (F.col("all_n") - 1)
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__n")), F.col("__v")))
+    parts = [x for n, q in shares.items() for x in (at(F.floor(place(q))).alias(f"__lo_{n}"), at(F.ceil(place(q))).alias(f"__hi_{n}"), F.max(place(q) - F.floor(place(q))).alias(f"__f_{n}"))]
+    got = run.groupBy(*by).agg(*parts)
+    return got.select(*by, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in shares])
+
+
+def unit_scale(rows: DataFrame, value: str, name: str, by: list[str] = ("video_id",), share: float = 0.95, floor: float = 1e-6) -> DataFrame:
+    """rows with name: value over the larger of its quantile in the group and a floor, clipped to 0..1."""
+    top = quantiles(rows, value, {"__top": share}, by)
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value) / F.greatest(F.col("__top"), F.lit(floor))))
+    return rows.join(top, list(by), "left").withColumn(name, scaled).drop("__top")
+
+
 def _safe(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
@@ -68,12 +87,12 @@ def rank_auc(rows: DataFrame, value: str, label: Column, by: list[str] = ()) ->
 
 
 def average_ranks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """rows with r_<column>: the rank within the group, equal values sharing their mean rank."""
+    """rows with r_<column>: the rank within the group, equal values sharing their mean rank; a null value has no rank and does not count."""
     for c in columns:
-        per = rows.groupBy(*by, c).agg(F.count("*").alias("__n"))
+        per = rows.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("__n"))
         run = running(per, by, c, {"n": "__n"})
         ranked = run.select(*by, c, (F.col("all_n") - F.col("run_n") + (F.col("__n") + 1) / 2.0).alias(f"r_{c}"))
-        rows = rows.join(ranked, [*by, c])
+        rows = rows.join(ranked, [*by, c], "left")
     return rows
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 KEYS = ["video_id", "center_frame"]
 
@@ -58,3 +58,42 @@ def dataset_problems(index: DataFrame, annotations: DataFrame, scores: DataFrame
     for part in (one(no_label, "unlabelled"), one(twice, "repeated"), one(no_score, "unscored"), first):
         out = out.crossJoin(part)
     return out
+
+
+def score_problems(scores: DataFrame, order: str) -> DataFrame:
+    """video_id, place, problem of the rows of a list of scores (video_id, center_frame, score; `order` is their place in the list) that cannot stand: no finite number, out of 0..1, or a center that
+    does not rise."""
+    before = F.lag("center_frame").over(Window.partitionBy("video_id").orderBy(order))
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    said = F.when(bad, "not finite").when(~F.col("score").between(0.0, 1.0), "out of range").when(before >= F.col("center_frame"), "not rising")
+    return scores.select("video_id", F.col(order).alias("place"), said.alias("problem")).where("problem is not null")
+
+
+def ordered_scores(scores: DataFrame, order: str) -> DataFrame:
+    """scores as they are; an error if any row has a problem."""
+    worst = score_problems(scores, order).agg(F.count("*").alias("n"), F.min(F.struct("video_id", "place", "problem").cast("string")).alias("first")).first()
+    if worst.n:
+        raise ValueError(f"{worst.n} scores cannot stand, the first: {worst.first}")
+    return scores
+
+
+def dataset_counters(lines: DataFrame, interval: int = 16, fields: int = 4) -> DataFrame:
+    """One row: lines, short (fewer than four fields), frames and windows (one for every started interval) of index lines (value); blank lines do not count."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(F.length(F.trim("value")) > 0).select((F.size(f) < fields).alias("short"), (F.get(f, F.lit(2)).try_cast("bigint") - F.get(f, F.lit(1)).try_cast("bigint") + 1).alias("n"))
+    n = F.when(~F.col("short"), F.greatest(F.lit(0), "n"))
+    return rows.agg(F.count("*").alias("lines"), F.count_if("short").alias("short"), F.coalesce(F.sum(n), F.lit(0)).alias("frames"), F.coalesce(F.sum(F.ceil(n / interval)), F.lit(0)).alias("windows"))
+
+
+def first_match(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """name, value: for each name the value of the first entry (key, position, value) whose key has its stem; null if none has."""
+    from ..functions.text import stem
+
+    keyed = entries.groupBy(stem(F.col("key")).alias("__stem")).agg(F.min_by("value", "position").alias("value"))
+    return names.select("name", stem(F.col("name")).alias("__stem")).join(keyed, "__stem", "left").select("name", "value")
+
+
+def latest(results: DataFrame) -> DataFrame:
+    """video_id, center_frame, score, error of the last attempt at each clip."""
+    best = F.max_by(F.struct("score", "error"), "attempt").alias("r")
+    return results.groupBy(*KEYS).agg(best).select(*KEYS, "r.score", "r.error")

@@ -52,3 +52,12 @@ def interpolated(samples: DataFrame, grid: DataFrame) -> DataFrame:
     share = F.try_divide((F.col("center_frame") - F.col("l.x")).cast("double"), (F.col("r.x") - F.col("l.x")).cast("double"))
     value = F.when(F.col("l").isNull(), F.col("r.y")).when(F.col("r").isNull() | (F.col("r.x") == F.col("l.x")), F.col("l.y")).otherwise(F.col("l.y") + (F.col("r.y") - F.col("l.y")) * share)
     return rows.where("asked = 1").select("video_id", "center_frame", value.alias("score"))
+
+
+def interpolated_frames(samples: DataFrame, clips: DataFrame, index: DataFrame, sigma: float = 10.0, interval: int = 16) -> DataFrame:
+    """Scores of every frame: samples interpolated to the grid of clips, smoothed there, and expanded. clips: video_id, clip_idx, center_frame (every interval-th frame)."""
+    from .frames import expanded
+
+    grid = clips.select("video_id", "clip_idx", "center_frame")
+    known = interpolated(samples, grid).where("score is not null").join(grid, ["video_id", "center_frame"])
+    return expanded(gaussian(known, sigma), index, interval)

@@ -290,7 +290,7 @@ def polarity_margin(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT vec_id, round(list_sum([(k - 1) * x[k] for k in range(1, 12)]) / list_sum(x) / 10, 6) AS score FROM sx"
 )
 def flat11_expectation(spark: SparkSession, d: str) -> DataFrame:
-    return A.options(spark, d).select("vec_id", r6(O.expectation(O.flat_margins("raw")), "score"))
+    return A.options(spark, d).select("vec_id", r6(O.flat_expectation("raw"), "score"))
 
 
 @query(
@@ -313,14 +313,14 @@ def log_likelihoods(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(lag(text) OVER (ORDER BY doc_id), ' ') AS b FROM documents)
-SELECT doc_id, coalesce(list_min([k for k in range(1, least(len(a), len(b)) + 1) if a[k] <> b[k]]) - 1, least(len(a), len(b)))::BIGINT AS shared FROM p WHERE b IS NOT NULL AND doc_id % 2 = 1"""
+    """WITH p AS (SELECT d.doc_id, string_split(d.text, ' ') AS a, string_split(before.text, ' ') AS b FROM documents d JOIN documents before ON d.doc_id = before.doc_id + 1)
+SELECT doc_id, coalesce(list_min([k for k in range(1, least(len(a), len(b)) + 1) if a[k] <> b[k]]) - 1, least(len(a), len(b)))::BIGINT AS shared FROM p"""
 )
 def common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Words that an odd document shares with the one before it, from the start."""
+    """Words that a document shares with the one whose id is one less, from the start."""
     t = A.table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("w"))
     before = t.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("b"))
-    return t.where("doc_id % 2 = 1").join(before, "doc_id").select("doc_id", big(O.common_prefix("w", "b"), "shared"))
+    return t.join(before, "doc_id").select("doc_id", big(O.common_prefix("w", "b"), "shared"))
 
 
 _CLIP = "greatest(1e-12, least(1 - 1e-12, x))"
@@ -879,7 +879,7 @@ def bootstrap_random(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.bootstrap(R.weighted_rows(c, A.index(c), A.intervals(c)), M.resamples(c, 50)))
 
 
-@query()
+@query(_with(A.CLIPS) + "SELECT video_id, center_frame, sha256('17:' || video_id || ':' || center_frame) AS key FROM clips ORDER BY key LIMIT 100")
 def seeded_windows(spark: SparkSession, d: str) -> DataFrame:
     """A hundred windows in an order drawn by digest: the same on every run."""
     c = A.clips(spark, d)

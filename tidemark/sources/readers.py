@@ -90,6 +90,19 @@ def read_scores(spark: SparkSession, folder: str, strict: bool = False) -> DataF
     return score_map(read_files(spark, folder), strict)
 
 
+def video_names(spark: SparkSession, folder: str | None = None, index: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """video_id, path, ordered by path: of just one of an index file, a list of names, and the video files below a folder."""
+    if sum(x is not None for x in (folder, index, names)) != 1:
+        raise ValueError("give one of folder, index and names")
+    if index is not None:
+        found = read_index(spark, index).select("path")
+    elif names is not None:
+        found = spark.createDataFrame([(n,) for n in names], "path string")
+    else:
+        found = list_videos(spark, folder)
+    return found.select(stem(F.col("path")).alias("video_id"), "path").orderBy("path")
+
+
 def list_videos(spark: SparkSession, folder: str) -> DataFrame:
     """path of every video file below a folder, ordered."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")

@@ -31,8 +31,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, most: int = 1_000) -> str:
-    """A table of a small result, at most `most` rows, as Markdown."""
-    got = rows.limit(most).collect()
+    """A table of a small result as Markdown; more than `most` rows are an error, as a report that leaves some out would not say so."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows: write them as CSV")
     lines = [rows.columns, ["---"] * len(rows.columns), *[[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in got]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
 

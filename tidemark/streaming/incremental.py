@@ -1,34 +1,53 @@
-"""Incremental scoring: clips that arrive as files are scored once, failures again on the next run."""
+"""Incremental scoring: clips that arrive as files are scored once, failures again on the next run.
+
+out/results holds a row for every attempt at a clip: its score (the default one for a failure) and its error. One append is one attempt, so a crash leaves scores and errors that belong
+together. scores() and errors() read the last attempt at each clip: a success drops the error."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..backends import SCHEMA, scored
-from ..operators.quality import pending
+from ..operators.quality import latest, pending
+from ..plans.runs import claim, release
 
-SCORES = "video_id string, center_frame bigint, score double"
-ERRORS = "video_id string, center_frame bigint, error string"
+RESULTS = SCHEMA + ", attempt bigint"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # not written yet
-        return spark.createDataFrame([], schema)
+def results(spark: SparkSession, out: str) -> DataFrame:
+    """All attempts; none if nothing is written yet. Any other fault of the storage is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/results")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], RESULTS)
+    return spark.read.schema(RESULTS).parquet(f"{out}/results")
+
+
+def scores(spark: SparkSession, out: str) -> DataFrame:
+    """video_id, center_frame, score of every clip that was tried."""
+    return latest(results(spark, out)).drop("error")
+
+
+def errors(spark: SparkSession, out: str) -> DataFrame:
+    """video_id, center_frame, error of the clips whose last attempt failed."""
+    return latest(results(spark, out)).where("error is not null").drop("score")
 
 
 def score_pending(clips: DataFrame, out: str, backend: str, **options) -> tuple[int, int]:
-    """Score the clips that out/scores lacks, and append to out/scores or out/errors: (scored, failed). A clip that failed has no score and is tried again."""
+    """Score the clips that have no score or whose last attempt failed, and append the attempt: (scored, failed). One run at a time: another that holds the folder is an error."""
     spark = clips.sparkSession
-    done = _table(spark, f"{out}/scores", SCORES)
-    left = pending(clips, done, spark.createDataFrame([], ERRORS))
-    scored(left, backend, **options).write.mode("overwrite").parquet(f"{out}/batch")  # each clip is scored once, whatever reads it below
-    made = spark.read.schema(SCHEMA).parquet(f"{out}/batch")
-    good, bad = made.where("error is null"), made.where("error is not null")
-    good.select("video_id", "center_frame", "score").write.mode("append").parquet(f"{out}/scores")
-    bad.select("video_id", "center_frame", "error").write.mode("append").parquet(f"{out}/errors")
-    return good.count(), bad.count()
+    if not claim(spark, out):
+        raise RuntimeError(f"another run owns {out}")
+    try:
+        tried = results(spark, out)
+        attempt = tried.agg(F.coalesce(F.max("attempt"), F.lit(0)) + 1).first()[0]
+        done = latest(tried)
+        left = pending(clips, done, done.where("error is not null"))
+        scored(left, backend, **options).withColumn("attempt", F.lit(attempt).cast("bigint")).write.mode("append").parquet(f"{out}/results")
+        made = results(spark, out).where(F.col("attempt") == attempt)
+        good, bad = made.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
+        return good, bad
+    finally:
+        release(spark, out)
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, out: str, backend: str, files: int = 16, **options):
