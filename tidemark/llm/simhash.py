@@ -34,6 +34,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 HOT = 64
+#: For long fingerprints: there every member of a group of near copies shares values with the others in many partitions.
+WIDE_HOT = 16
 TILE = 1024
 #: A probe is made, shuffled and sorted; a candidate is only compared.
 PROBE_COST = 8
@@ -295,7 +297,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
     """(a, b): ids whose links reach what all probed pairs within search.most bits reach. distinct: id, fp (array of search.words longs), each fp once."""
-    plan = planned(distinct, search)
+    plan, limit = planned(distinct, search), HOT if search.words == 1 else min(HOT, WIDE_HOT)
     names = ["part", "value", "id", "w"]
 
     def rows(i: int, value: np.ndarray, ids: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
@@ -326,7 +328,7 @@ def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
     x = distinct.select("id", "fp").mapInArrow(members, schema)
     sizes = q.groupBy(key).agg(F.count("*").alias("nq"), F.min("id").alias("lq")).join(x.groupBy(key).agg(F.count("*").alias("nx"), F.min("id").alias("lx")), key)
     # a value with one member that is its only probe has no partner
-    sizes, _ = stored(sizes.where("nq > 1 or nx > 1 or lq <> lx").withColumn("hot", F.expr(f"nq > {HOT} or nx > {HOT}")).drop("lq", "lx"), "sizes")
+    sizes, _ = stored(sizes.where("nq > 1 or nx > 1 or lq <> lx").withColumn("hot", F.expr(f"nq > {limit} or nx > {limit}")).drop("lq", "lx"), "sizes")
     cold = sizes.where("not hot").select(key)
     found = q.join(cold, key).select(*key, F.col("id").alias("a"), F.col("w").alias("wa")).join(x.select(*key, F.col("id").alias("b"), F.col("w").alias("wb")), key)
     found = found.where(F.expr(f"bit_count(wa ^ wb) <= {search.first} and a <> b")).select("a", "b")
