@@ -12,7 +12,7 @@ t_i of its own, and hits are verified on all bits. m is chosen by the same estim
 
 The estimate needs how often each value of up to 16 bits occurs: a bounded number of tables of counts, whatever the size of the corpus. Cost is PROBE_COST for each probe and 1 for each candidate.
 
-Hot values (over HOT fingerprints or probes): members and probes are dealt to tiles of about TILE by TILE; each tile is
+Hot values (over HOT fingerprints or probes; for long fingerprints over WIDE_HOT or WIDE_PROBES): members and probes are dealt to tiles of about TILE by TILE; each tile is
 verified in blocks and gives back what its links connect, each id with the least one, so a large group of near copies makes few rows and no task
 holds it. Nothing is dropped: every probe meets every member in just one tile.
 """
@@ -34,8 +34,9 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 HOT = 64
-#: For long fingerprints: there every member of a group of near copies shares values with the others in many partitions.
-WIDE_HOT = 16
+#: For long fingerprints, members and probes of a value: every member of a group of near copies shares values with the others in many partitions, while probes also grow with
+#: what is not alike. A value that is not hot makes at most WIDE_HOT candidates a probe.
+WIDE_HOT, WIDE_PROBES = 16, 256
 TILE = 1024
 #: A probe is made, shuffled and sorted; a candidate is only compared.
 PROBE_COST = 8
@@ -297,7 +298,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
     """(a, b): ids whose links reach what all probed pairs within search.most bits reach. distinct: id, fp (array of search.words longs), each fp once."""
-    plan, limit = planned(distinct, search), HOT if search.words == 1 else min(HOT, WIDE_HOT)
+    plan = planned(distinct, search)
+    most_q, most_x = (HOT, HOT) if search.words == 1 else (min(4 * HOT, WIDE_PROBES), min(HOT, WIDE_HOT))
     names = ["part", "value", "id", "w"]
 
     def rows(i: int, value: np.ndarray, ids: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
@@ -328,7 +330,7 @@ def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
     x = distinct.select("id", "fp").mapInArrow(members, schema)
     sizes = q.groupBy(key).agg(F.count("*").alias("nq"), F.min("id").alias("lq")).join(x.groupBy(key).agg(F.count("*").alias("nx"), F.min("id").alias("lx")), key)
     # a value with one member that is its only probe has no partner
-    sizes, _ = stored(sizes.where("nq > 1 or nx > 1 or lq <> lx").withColumn("hot", F.expr(f"nq > {limit} or nx > {limit}")).drop("lq", "lx"), "sizes")
+    sizes, _ = stored(sizes.where("nq > 1 or nx > 1 or lq <> lx").withColumn("hot", F.expr(f"nq > {most_q} or nx > {most_x}")).drop("lq", "lx"), "sizes")
     cold = sizes.where("not hot").select(key)
     found = q.join(cold, key).select(*key, F.col("id").alias("a"), F.col("w").alias("wa")).join(x.select(*key, F.col("id").alias("b"), F.col("w").alias("wb")), key)
     found = found.where(F.expr(f"bit_count(wa ^ wb) <= {search.first} and a <> b")).select("a", "b")
