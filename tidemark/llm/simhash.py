@@ -44,22 +44,22 @@ PROBE_COST = 8
 
 @dataclass(frozen=True)
 class Search:
-    """How fingerprints are searched: words of 64 bits, the radius within which every pair is probed, the differing bits of the first word and of all words up to which
-    a probed pair is a link, the largest threshold of a partition, and the bits of a table of counts."""
+    """How fingerprints are searched: words of 64 bits, the radius within which every pair is probed, the differing bits of one word and of all words up to which
+    a probed pair is a link (the one is the word after that of the partition, as the partition's own bits agree anyhow), the largest threshold of a partition, and the bits of a table of counts."""
 
     words: int
     radius: int
-    first: int
+    one: int
     most: int
     threshold: int
     piece: int
 
 
 #: op9_simhash: every pair within 3 of 64 bits, and no other.
-FINGERPRINT = Search(words=1, radius=RADIUS, first=RADIUS, most=RADIUS, threshold=RADIUS, piece=16)
+FINGERPRINT = Search(words=1, radius=RADIUS, one=RADIUS, most=RADIUS, threshold=RADIUS, piece=16)
 #: Candidates for a similarity of 0.8: bits then differ with a probability of 0.15 (an angle of 27 degrees), 77 of 512 with a deviation of 8. Unrelated texts differ in 256,
 #: with a deviation of 11. Every pair within 35 bits is probed, and others as far as they agree in a partition: a pair at 0.8 does with a probability of 0.97, one at 0.85 of 0.99.
-WIDE = Search(words=8, radius=35, first=20, most=104, threshold=1, piece=8)
+WIDE = Search(words=8, radius=35, one=20, most=104, threshold=1, piece=8)
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -317,13 +317,13 @@ def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
                     own = np.flatnonzero(t[i] >= r)
                     if len(own):
                         masks = np.array([m for m in plan.masks[r] if not m >> len(part)], dtype=np.uint64)
-                        yield rows(i, (v[own][:, None] ^ masks).reshape(-1), np.repeat(ids[own], len(masks)), np.repeat(fp[own, 0], len(masks)))
+                        yield rows(i, (v[own][:, None] ^ masks).reshape(-1), np.repeat(ids[own], len(masks)), np.repeat(fp[own, (w + 1) % search.words], len(masks)))
 
     def members(batches):
         for b in batches:
             ids, fp = b.column(0).to_numpy(), words_of(b.column(1), search.words)
             for i, (w, part) in enumerate(plan.parts):
-                yield rows(i, values(fp[:, w], part), ids, fp[:, 0].copy())
+                yield rows(i, values(fp[:, w], part), ids, fp[:, (w + 1) % search.words].copy())
 
     schema, key = "part int, value bigint, id bigint, w bigint", ["part", "value"]
     q, _ = stored(distinct.select("id", "fp").mapInArrow(probes, schema), "probes")
@@ -333,7 +333,7 @@ def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
     sizes, _ = stored(sizes.where("nq > 1 or nx > 1 or lq <> lx").withColumn("hot", F.expr(f"nq > {most_q} or nx > {most_x}")).drop("lq", "lx"), "sizes")
     cold = sizes.where("not hot").select(key)
     found = q.join(cold, key).select(*key, F.col("id").alias("a"), F.col("w").alias("wa")).join(x.select(*key, F.col("id").alias("b"), F.col("w").alias("wb")), key)
-    found = found.where(F.expr(f"bit_count(wa ^ wb) <= {search.first} and a <> b")).select("a", "b")
+    found = found.where(F.expr(f"bit_count(wa ^ wb) <= {search.one} and a <> b")).select("a", "b")
     if search.words > 1:
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         side = lambda c: distinct.select(F.col("id").alias(c), F.col("fp").alias(f"f{c}"))
