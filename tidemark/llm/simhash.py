@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .bloom import may_hold
 from .common import append_column, fresh, read, split_words, stored
 from .components import components, met
 
@@ -442,7 +443,9 @@ def similar_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
     grouped = heads.join(roots, heads["id"] == roots["node"], "left").select("sketch", "n", F.coalesce("root", "id").alias("root"))
     groups = met(sets, grouped, "sketch", sets.count()).select("fp", "size", "row", "root")
     sized = groups.groupBy("root").agg(F.count("*").alias("n"), F.expr(f"int(greatest(ceil(count(*) / {TILE_ROWS}), ceil(sum(size) / {TILE_SHINGLES})))").alias("tiles")).where("n > 1")
-    tiled = met(groups, sized, "root", sets.count()).withColumn("own", F.expr("int(pmod(xxhash64(fp, 7), tiles))"))
+    tiled, _ = stored(met(groups, sized, "root", sets.count()).withColumn("own", F.expr("int(pmod(xxhash64(fp, 7), tiles))")), "tiled")
+    # only texts of groups move: the others miss the filter
+    texts, _ = may_hold(texts, "row", tiled.select(F.col("row").alias("key")), tiled.count())
     # every two tiles meet, and a tile meets itself in each of them; a group of one tile meets itself
     full = tiled.join(texts, "row").withColumn("other", F.explode(F.expr("filter(sequence(0, tiles - 1), k -> k <> own or tiles = 1)")))
     placed = full.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text")
@@ -460,14 +463,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of texts that links of similarity reach: that of the smallest doc_id (the first of equals), with the columns of docs.
 
     A text of fewer than 5 words has one shingle, the whole sequence; texts without words (null ones too) are all alike. Null ids come last; repeated rows are one class; an empty table
-    gives an empty table. Which row stays is found on narrow rows; texts move once, to meet the rows that stay."""
+    gives an empty table. Which row stays is found on narrow rows; of the texts only those move that
+    a Bloom filter of the rows to be dropped, or to be compared, may hold."""
     row, made = fresh("__row", docs.columns), fresh("__print", docs.columns)
     rows, _ = stored(append_column(docs, docs.columns, lambda: set_print, made, T.ArrayType(T.LongType())).withColumn(row, F.monotonically_increasing_id()), "prints")
     at = F.col(made)
     prints = rows.select(at[0].alias("fp"), at[1].alias("size"), F.slice(at, 3, WIDE.words).alias("sketch"), F.col(row).alias("row"), "doc_id")
     found = similar_links(prints.select("fp", "size", "sketch", "row"), rows.select(F.col(row).alias("row"), "text"))
-    won = classes(prints.select("fp", "doc_id", "row"), found).select(F.col("row").alias(row)).distinct()
-    return rows.join(won, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    won = classes(prints.select("fp", "doc_id", "row"), found).select("row").distinct()
+    lost, _ = stored(prints.select("row").join(won, "row", "left_anti"), "lost")
+    asked, stay = may_hold(rows, row, lost.select(F.col("row").alias("key")), lost.count())
+    stay = stay.union(asked.join(lost.withColumnRenamed("row", row), row, "left_anti").select(*[f"`{c}`" for c in stay.columns]))
+    return stay.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

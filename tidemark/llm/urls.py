@@ -1,10 +1,8 @@
 """URL rules: a blocked Bloom filter of the listed canonical URLs in front of an exact hash join.
 
 A rule is a host and a path prefix. A url asks for every listed host suffix of its own (at label borders) with every prefix of its path that is
-as long as a listed path is. These keys meet the filter first: a key's hash names one block of 256 bits and one bit in each of the block's four
-words, so that one look-up decides. Keys that pass go to an exact join with the list, which removes false positives; the longest rule
-wins. The filter holds hosts as well as whole keys, so a suffix that no rule has is done with before paths are cut. It is one array, of at most
-MOST_BLOCKS blocks (32 bytes each): more rules only make it less selective.
+as long as a listed path is. These keys meet the filter (llm/bloom.py) first. Keys that pass go to an exact join with the list, which removes false positives; the longest rule
+wins. The filter holds hosts as well as whole keys, so a suffix that no rule has is done with before paths are cut.
 
 A list of up to BROADCAST_BYTES meets the keys by a broadcast. A longer one is joined with components.met, in which a frequent key is spread over
 tasks, and urls without a key take no part.
@@ -17,15 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .bloom import bloom_filter, passes
 from .common import read, stored
 from .components import met
 
 #: (verdict, host, path prefix). Fixed values.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 DEFAULT = "allow"
-BITS_PER_RULE = 16
-BLOCK_BITS = 256
-MOST_BLOCKS = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 
@@ -35,32 +31,6 @@ def parts(url: str) -> tuple[Column, Column]:
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _bits(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("bits"))
-
-
-def _mask(bits: Column, k: int) -> Column:
-    """The bit of a key in word k of its block."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
-
-
-def bloom_filter(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """One row, `bloom`: the four words of every block, one after the other; and how many blocks there are. keys: key, n of them."""
-    blocks = min(MOST_BLOCKS, max(1, -(-n * BITS_PER_RULE // BLOCK_BITS)))
-    set_ = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[_mask(_bits(F.col("key")), k).alias(f"m{k}") for k in range(4)])
-    by_block = set_.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(4)])
-    every = keys.sparkSession.range(blocks).withColumnRenamed("id", "block").join(by_block, "block", "left")
-    words = F.array(*[F.coalesce(f"w{k}", F.lit(0).cast("bigint")) for k in range(4)]).alias("words")
-    return every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", words))), lambda x: x["words"])).alias("bloom")), blocks
-
-
-def passes(key: Column, blocks: int) -> Column:
-    """Whether the filter in column `bloom` may hold the key."""
-    at, bits = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int") * 4, _bits(key)
-    hit = [F.get("bloom", at + k).bitwiseAND(_mask(bits, k)) != 0 for k in range(4)]
-    return hit[0] & hit[1] & hit[2] & hit[3]
-
-
 def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages. rules: verdict, host, path."""
     rules = rules.groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("blocks"))
