@@ -437,8 +437,8 @@ def similar_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
     What long fingerprints link are groups: similar sets are in one, whatever else is. Within a group every two sets are compared on the sets themselves. A large group is dealt to tiles; every
     two tiles are one task, which gives back a spanning forest of its links, not all pairs."""
     sets, _ = stored(prints.where("size > 0").groupBy("fp").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("row").alias("row")), "sets")
-    # sets may share a fingerprint: it is searched once, and the least set stands for it
-    heads, _ = stored(sets.groupBy("sketch").agg(F.min("fp").alias("id"), F.count("*").alias("n")), "heads")
+    # sets may share a fingerprint: it is searched once. Its id is its place, as rising numbers take less of a shuffle than hashes do
+    heads, _ = stored(sets.groupBy("sketch").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "heads")
     roots = components(links(heads.select("id", F.col("sketch").alias("fp")), WIDE))
     grouped = heads.join(roots, heads["id"] == roots["node"], "left").select("sketch", "n", F.coalesce("root", "id").alias("root"))
     groups = met(sets, grouped, "sketch", sets.count()).select("fp", "size", "row", "root")
