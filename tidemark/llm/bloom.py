@@ -28,9 +28,9 @@ def bloom_filter(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     """One row, `bloom`: the four words of every block, one after the other; and how many blocks there are. keys: key, n of them."""
     blocks = min(MOST_BLOCKS, max(1, -(-n * BITS_PER_KEY // BLOCK_BITS)))
     set_ = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[_mask(_bits(F.col("key")), k).alias(f"m{k}") for k in range(4)])
-    by_block = set_.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(4)])
-    every = keys.sparkSession.range(blocks).withColumnRenamed("id", "block").join(by_block, "block", "left")
-    words = F.array(*[F.coalesce(f"w{k}", F.lit(0).cast("bigint")) for k in range(4)]).alias("words")
+    none = keys.sparkSession.range(blocks).select(F.col("id").alias("block"), *[F.lit(0).cast("bigint").alias(f"m{k}") for k in range(4)])
+    every = set_.unionByName(none).groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(4)])
+    words = F.array(*[f"w{k}" for k in range(4)]).alias("words")
     return every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", words))), lambda x: x["words"])).alias("bloom")), blocks
 
 

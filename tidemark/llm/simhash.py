@@ -241,15 +241,16 @@ class Plan:
 
 
 def planned(distinct: DataFrame, search: Search) -> Plan:
-    """The plan of the least estimated cost among 2, 3 and 4 partitions a word, judged on at most 4,096 fingerprints."""
+    """The plan of the least estimated cost among 2, 3 and 4 partitions a word (as far as their thresholds can reach the radius), judged on at most 4,096 fingerprints."""
     n, both = co_counts(distinct, search.words)
     some = words_of(distinct.select("fp", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(4096).select("fp").toArrow()["fp"].combine_chunks(), search.words)
+    # the thresholds of all partitions have to reach the radius
+    parts = {m: [(w, bits) for w in range(search.words) for bits in grouped_bits(n, both[w], m)] for m in (2, 3, 4) if m * search.words * (search.threshold + 1) > search.radius}
+    pieces = {m: [[p[k : k + search.piece] for k in range(0, len(p), search.piece)] for _, p in parts[m]] for m in parts}
+    counts = iter(value_counts(distinct, search.words, [(w, x) for m in parts for (w, _), p in zip(parts[m], pieces[m], strict=True) for x in p]))
     plans = []
-    for m in (2, 3, 4):
-        parts = [(w, bits) for w in range(search.words) for bits in grouped_bits(n, both[w], m)]
-        pieces = [[p[k : k + search.piece] for k in range(0, len(p), search.piece)] for _, p in parts]
-        counts = iter(value_counts(distinct, search.words, [(w, x) for (w, _), p in zip(parts, pieces, strict=True) for x in p]))
-        plan = Plan(search, n, parts, pieces, [[profile(next(counts), search.threshold) for _ in p] for p in pieces])
+    for m in parts:
+        plan = Plan(search, n, parts[m], pieces[m], [[profile(next(counts), search.threshold) for _ in p] for p in pieces[m]])
         cost = float(plan.thresholds(some)[1].sum()) if len(some) else 0.0
         plans.append((cost, -m, plan))
     return min(plans, key=lambda x: x[:2])[2]
