@@ -23,6 +23,9 @@ CONTRACT = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op11_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_conversations": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
 }
 
 
