@@ -14,6 +14,7 @@ candidate; ties in a language are broken by phrase; an empty table gives no row;
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from .components import met
 
 DEPTH = 4
 #: Words of a run, and bytes of text for each range.
-RUN, RANGE_BYTES = 1 << 21, 24 << 20
+RUN, RANGE_BYTES = 1 << 20, 6 << 20
 #: Paths that borders are made of, and bytes of text for each of them.
 SAMPLE, STRIDE = 1 << 16, 2048
 _END = b"\xff"  # no UTF-8 text holds it
@@ -161,27 +162,28 @@ def blocks(docs: DataFrame, at: list[Path], depth: int = DEPTH) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             words = sorted(w for w in known if w != _END)
-            rank = np.zeros(len(known), dtype=np.int64)
+            rank = np.zeros(len(known), dtype=np.int32)
             rank[[known[w] for w in words]] = np.arange(1, len(words) + 1)
             langs = sorted({x for x, _ in held})
             place = {x: k for k, x in enumerate(langs)}
-            tokens = np.concatenate([rank[ids] for _, ids in held] + [np.zeros(depth, dtype=np.int64)])
+            tokens = np.concatenate([rank[ids] for _, ids in held] + [np.zeros(depth, dtype=np.int32)])
             lengths = np.array([len(ids) for _, ids in held])
-            inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            inside = np.arange(lengths.sum(), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
             starts = np.flatnonzero((tokens[: len(inside)] > 0) & (inside < RUN))
-            cols = [np.repeat([place[x] for x, _ in held], lengths)[starts], tokens[starts]]
+            del inside
+            cols = [np.repeat(np.array([place[x] for x, _ in held], dtype=np.int32), lengths)[starts], tokens[starts]]
             for k in range(1, depth):
-                cols.append(np.where(cols[-1] > 0, tokens[starts + k], 0))
-            rows = list(cut_up(Trie(langs, words, cols, None))) if len(starts) else []
-            for a in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows[a : a + 256]], t) for n, t in _BLOCK_KINDS.items()], names=list(_BLOCK_KINDS))
+                cols.append(np.where(cols[-1] > 0, tokens[starts + k], np.int32(0)))
+            rows = cut_up(Trie(langs, words, cols, None)) if len(starts) else iter(())
+            while some := list(itertools.islice(rows, 32)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], t) for n, t in _BLOCK_KINDS.items()], names=list(_BLOCK_KINDS))
 
         for b in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
                 for a in range(0, len(words), RUN):  # a longer text goes in parts, each with the words after it and an end
                     part = [*words[a : a + RUN + depth - 1], _END]
-                    held.append((lang, np.fromiter(map(number, part), dtype=np.int64, count=len(part))))
+                    held.append((lang, np.fromiter(map(number, part), dtype=np.int32, count=len(part))))
                     size += len(part)
                     if size >= RUN:
                         yield from out()
@@ -240,8 +242,9 @@ def merged(parts: DataFrame, at: list[Path], least: int, depth: int = DEPTH) ->
             if r["same"]:
                 cols, n = _unpacked(r, depth)
                 counts.append(n)
+                names = np.array([number[w] for w in own], dtype=np.int32)
                 for c, (into, col) in enumerate(zip(columns, cols, strict=True)):
-                    into.append(np.array([number[w] for w in own] if c else [place[x] for x in r["langs"]])[col])
+                    into.append(names[col] if c else np.array([place[x] for x in r["langs"]], dtype=np.int32)[col])
         lower, upper = (_prefixes(at[j] if 0 <= j < len(at) else None, depth) for j in (k - 1, k))
         cut = np.array([r["cut"] for r in rows]).sum(axis=0)
         cut = np.concatenate([cut[:depth] if lower else cut[:0], cut[depth:] if upper else cut[:0]])
@@ -312,7 +315,8 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
-]')) AS piece FROM documents),
+
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 g AS (SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS d) WHERE i + d - 1 <= len(w)),
 f AS (SELECT lang, d, phrase, count(*) AS f FROM g GROUP BY ALL),
