@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranges import numbered, running
+
 
 def clip_windows(videos: DataFrame, interval: int = 16, seconds: float = 10.0) -> DataFrame:
     """video_id, clip_idx, center_frame, start_time, end_time: centers 0, interval, ... below frame_count; windows clamped to the video.
@@ -55,10 +57,8 @@ def percentile_band(scores: DataFrame, low: float, high: float) -> DataFrame:
 def top_budget(rows: DataFrame, budgets: list[float], value: str, label: str, order: str) -> DataFrame:
     """For each budget b, of the max(1, ceil(n b)) rows of largest value (ties by order): how many carry the label, recall, error rate, enrichment.
 
-    The cut is found from exact counts by value, and only rows that tie with it are ranked, so no task orders all rows."""
+    The cut is found from exact counts by value, and only rows that tie with it are ranked, by bands of their order, so no task orders all rows or all ties."""
     by_value = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), F.sum(label).alias("hits"))
-    from .metrics import running
-
     run = running(by_value, [], "v", {"n": "n", "hits": "hits"})
     sizes = rows.agg(F.count("*").alias("total"), F.sum(label).alias("total_fn"))
     b = rows.sparkSession.createDataFrame([(float(x),) for x in budgets], "budget double").crossJoin(F.broadcast(sizes))
@@ -67,8 +67,8 @@ def top_budget(rows: DataFrame, budgets: list[float], value: str, label: str, or
     cut = run.join(F.broadcast(b), F.expr("run_n - n < audited and run_n >= audited"))
     cut = cut.select("budget", "total", "total_fn", "audited", F.col("v").alias("cut"), F.expr("audited - (run_n - n)").alias("part"), F.expr("run_hits - hits").alias("above"))
     tied = rows.select(F.col(value).alias("v"), F.col(label).alias("hit"), F.col(order).alias("o")).join(F.broadcast(cut), F.col("v") == F.col("cut"))
-    tied = tied.withColumn("k", F.row_number().over(Window.partitionBy("budget").orderBy("o")))
-    inside = tied.where("k <= part").groupBy("budget", "total", "total_fn", "audited", "above").agg(F.sum("hit").alias("hit"))
+    # ties are many where few values are: they are numbered by bands of the order as well
+    inside = numbered(tied, ["o"], "k", ["budget"]).where("k < part").groupBy("budget", "total", "total_fn", "audited", "above").agg(F.sum("hit").alias("hit"))
     covered = F.col("above") + F.col("hit")
     rate, prevalence = covered / F.col("audited"), F.col("total_fn") / F.col("total")
     return inside.select(
@@ -106,22 +106,17 @@ def extreme_intervals(scores: DataFrame) -> DataFrame:
 
 def job_stride(items: DataFrame, jobs: int, order: list[str]) -> DataFrame:
     """Item k of the ordered list goes to job k mod jobs."""
-    return _numbered(items, order).withColumn("job", (F.col("position") % jobs).cast("int"))
+    return numbered(items, order).withColumn("job", (F.col("position") % jobs).cast("int"))
 
 
 def job_contiguous(items: DataFrame, jobs: int, order: list[str]) -> DataFrame:
     """Contiguous runs, the first ones one longer where the count does not divide."""
-    rows = _numbered(items, order).crossJoin(F.broadcast(items.agg(F.count("*").alias("__n"))))
+    rows = numbered(items, order).crossJoin(F.broadcast(items.agg(F.count("*").alias("__n"))))
     q, r, k = F.floor(F.col("__n") / jobs), F.col("__n") % jobs, F.col("position")
     job = F.when(k < r * (q + 1), F.floor(k / (q + 1))).otherwise(r + F.floor((k - r * (q + 1)) / F.greatest(q, F.lit(1))))
     return rows.withColumn("job", job.cast("int")).drop("__n")
 
 
-def _numbered(items: DataFrame, order: list[str]) -> DataFrame:
-    """position from 0 in order. Items are videos of an index: a list of names."""
-    return items.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
-
-
 def balanced_jobs(work: list[tuple[str, int]], jobs: int) -> list[tuple[str, int, int]]:
     """Longest work first to the least loaded job, the lowest number on ties: (name, work, job). A driver-side plan of few names."""
     load = [0] * jobs

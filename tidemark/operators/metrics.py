@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-BINS = 1024
-F1_EDGE = 1e-8
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranges import running
 
-def running(by_value: DataFrame, by: list[str], value: str, sums: dict[str, str]) -> DataFrame:
-    """by_value (one row for each group and value) with run_<name>: the sum of a column from the largest value down to this one, and all_<name>: the group's.
-
-    Rows go to value ranges by a fixed rising map of all numbers to BINS; each range is ordered on its own and shifted by the totals of the
-    ranges above, so no task holds all rows, and no pass is needed to find the ranges."""
-    place = F.floor((F.atan(F.col(value).cast("double")) / math.pi + 0.5) * BINS).cast("int")
-    spread = by_value.withColumn("__bin", place)
-    totals = spread.groupBy(*by, "__bin").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    group = Window.partitionBy(*by)
-    above = group.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "__bin", *[F.coalesce(F.sum(f"__t_{n}").over(above), F.lit(0)).alias(f"__a_{n}") for n in sums], *[F.sum(f"__t_{n}").over(group).alias(f"all_{n}") for n in sums])
-    down = Window.partitionBy(*by, "__bin").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    run = spread.join(totals, [*by, "__bin"]).select("*", *[(F.col(f"__a_{n}") + F.sum(c).over(down)).alias(f"run_{n}") for n, c in sums.items()])
-    return run.drop("__bin", *[f"__a_{n}" for n in sums])
+F1_EDGE = 1e-8
 
 
 def curve(rows: DataFrame, by: list[str] = (), score: str = "score", pos: str = "pos", neg: str = "neg") -> DataFrame:
@@ -33,15 +20,17 @@ def curve(rows: DataFrame, by: list[str] = (), score: str = "score", pos: str =
 
 
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
-    """by, and a column for each share: the exact quantile, interpolated between neighbours; nulls do not count. Values are counted and summed by ranges, so no task holds them all."""
+    """by, and a column for each share: the exact quantile, interpolated between neighbours; nulls do not count. Values are counted and summed by bands, so no task holds them
+    all, and only the values at the places asked go on."""
     by = list(by)
     per = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    run = running(per, by, "__v", {"n": "__n"}).withColumn("__before", F.col("all_n") - F.col("run_n"))
-    place = lambda q: F.lit(float(q)) * (F.col("all_n") - 1)
-    at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__n")), F.col("__v")))
-    parts = [x for n, q in shares.items() for x in (at(F.floor(place(q))).alias(f"__lo_{n}"), at(F.ceil(place(q))).alias(f"__hi_{n}"), F.max(place(q) - F.floor(place(q))).alias(f"__f_{n}"))]
-    got = run.groupBy(*by).agg(*parts)
-    return got.select(*by, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in shares])
+    run = running(per, by, "__v", {"n": "__n"})
+    before, place = F.col("all_n") - F.col("run_n"), lambda q: F.lit(float(q)) * (F.col("all_n") - 1)
+    sides = [F.struct(F.lit(n).alias("n"), F.lit(k).alias("side"), edge(place(q)).alias("at"), (place(q) - F.floor(place(q))).alias("part")) for n, q in shares.items() for k, edge in enumerate((F.floor, F.ceil))]
+    asked = F.filter(F.array(*sides), lambda x: (x["at"] >= F.col("__lo")) & (x["at"] < F.col("__lo") + F.col("__n")))
+    met = run.withColumn("__lo", before).select(*by, "__v", F.explode(asked).alias("x"))
+    got = met.groupBy(*by).agg(*[F.max(F.when((F.col("x.n") == n) & (F.col("x.side") == k), F.struct(F.col("__v").alias("v"), F.col("x.part").alias("part")))).alias(f"__{k}_{n}") for n in shares for k in (0, 1)])
+    return got.select(*by, *[(F.col(f"__0_{n}.v") + (F.col(f"__1_{n}.v") - F.col(f"__0_{n}.v")) * F.col(f"__0_{n}.part")).alias(n) for n in shares])
 
 
 def unit_scale(rows: DataFrame, value: str, name: str, by: list[str] = ("video_id",), share: float = 0.95, floor: float = 1e-6) -> DataFrame:
@@ -115,20 +104,42 @@ def bootstrap(weighted: DataFrame, draws: DataFrame, metrics: list[str] = ("roc_
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"), F.count("*").alias("reps"))
 
 
+#: Videos of a bucket of draws, about; buckets, at most.
+BUCKET, BUCKETS = 2_048, 1 << 16
+
+
+def shares_of_draws(counts: list[int], at: int, total: int, seed: int, rep: int) -> int:
+    """How many of `total` draws over all buckets fall into bucket `at`. The draws are split in halves of the list of buckets, each split a binomial draw of a generator that is
+    seeded by the split, so every bucket comes to the same splits on its own, and all shares together are one multinomial draw."""
+    lo, hi = 0, len(counts) - 1  # counts: running totals of the buckets' sizes, from 0
+    while hi - lo > 1 and total:
+        mid = (lo + hi) // 2
+        left, all_ = counts[mid] - counts[lo], counts[hi] - counts[lo]
+        drawn = int(np.random.default_rng([seed, rep, lo, hi]).binomial(total, left / all_)) if all_ else 0
+        lo, hi, total = (lo, mid, drawn) if at < mid else (mid, hi, total - drawn)
+    return total
+
+
 def resamples(videos: DataFrame, reps: int, seed: int = 17) -> DataFrame:
-    """rep, video_id, times: reps draws of as many videos as there are, with replacement. A rep is one row of work with a generator of its own."""
-    numbered = videos.select("video_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("video_id")) - 1)
-    n = numbered.count()
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            for rep in b["id"]:
-                times = np.bincount(np.random.default_rng([seed, int(rep)]).integers(0, n, n), minlength=n)
-                at = np.flatnonzero(times)
-                yield pd.DataFrame({"rep": int(rep), "k": at, "times": times[at]})
-
-    drawn = videos.sparkSession.range(reps).mapInPandas(run, "rep bigint, k bigint, times bigint")
-    return drawn.join(numbered, "k").select("rep", "video_id", "times")
+    """rep, video_id, times: reps draws of as many videos as there are, with replacement. Videos lie in buckets by hash; a bucket's share of a rep's draws is found from the
+    sizes of all buckets (at most BUCKETS numbers), and drawn within it, so no task holds all videos."""
+    one = videos.select("video_id").distinct()
+    buckets = min(BUCKETS, max(1, -(-one.count() // BUCKET)))
+    placed = one.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)))
+    sizes = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    counts = [0]
+    for k in range(buckets):
+        counts.append(counts[-1] + sizes.get(k, 0))
+    total, kind = counts[-1], one.schema["video_id"].dataType.simpleString()
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([b.column("video_id") for b in batches])
+        ids = ids.take(pa.array(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")))
+        at, n = key[0].as_py(), len(ids)
+        for rep in range(reps):
+            drawn = shares_of_draws(counts, at, total, seed, rep)
+            times = np.bincount(np.random.default_rng([seed, rep, at]).integers(0, n, drawn), minlength=n)
+            hit = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), rep, dtype=np.int64)), ids.take(pa.array(hit)), pa.array(times[hit].astype(np.int64))], names=["rep", "video_id", "times"])
+
+    return placed.groupBy("bucket").applyInArrow(run, f"rep bigint, video_id {kind}, times bigint")

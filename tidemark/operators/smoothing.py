@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -14,28 +14,31 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, floa
 
 
 def gaussian(clips: DataFrame, sigma: float = 10.0, value: str = "score", by: list[str] = ("video_id",)) -> DataFrame:
-    """clips with value smoothed over clip_idx (0.. without gaps), ends reflected; sigma 0 leaves it.
-
-    Each clip gathers the values of its video in order, within one window of 2 radius + 1 rows, so there is one shuffle by video and no
-    join. Reflection only concerns rows near an end and is done by index on that window; a video shorter than the
-    window reflects more than once."""
-    if sigma <= 0:
-        return clips
-    kernel = gaussian_kernel(sigma)
-    radius = kernel[-1][0]
+    """clips with value smoothed over clip_idx (0.. without gaps), ends reflected; sigma 0 leaves it. One shuffle by video and no join; see gaussians."""
+    return clips if sigma <= 0 else gaussians(clips, [sigma], value, by).withColumn(value, F.get("smoothed", F.lit(0))).drop("smoothed")
+
+
+def gaussians(clips: DataFrame, sigmas: list[float], value: str = "score", by: list[str] = ("video_id",), name: str = "smoothed") -> DataFrame:
+    """clips with an array of value smoothed by every sigma, in one ordered pass: each clip gathers the values of the widest kernel's reach once, and narrower kernels use the middle of
+    them. Reflection only concerns rows near an end and is done by index on what was gathered; a video shorter than the reach reflects more than once."""
+    kernels = [gaussian_kernel(s) if s > 0 else [(0, 1.0)] for s in sigmas]
+    reach = max(k[-1][0] for k in kernels)
     part = Window.partitionBy(*by)
-    order = part.orderBy("clip_idx")
-    near = order.rowsBetween(-radius, radius)
-    rows = clips.withColumn("__n", F.count("*").over(part)).withColumn("__v", F.collect_list(value).over(near)).withColumn("__first", F.greatest(F.col("clip_idx") - radius, F.lit(0)))
-    weights = F.array(*[F.lit(w) for _, w in kernel])
+    near = part.orderBy("clip_idx").rowsBetween(-reach, reach)
+    rows = clips.withColumn("__n", F.count("*").over(part)).withColumn("__v", F.collect_list(value).over(near)).withColumn("__first", F.greatest(F.col("clip_idx") - reach, F.lit(0)))
     # o-th neighbour: its reflected index, minus the index of the first value gathered
     at = lambda o: F.pmod(F.col("clip_idx") + o, 2 * F.col("__n"))
     source = lambda o: F.when(at(o) < F.col("__n"), at(o)).otherwise(2 * F.col("__n") - 1 - at(o))
-    inner = F.aggregate(F.zip_with(F.col("__v"), weights, lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    edge = F.aggregate(F.zip_with(offsets, weights, lambda o, w: w * F.element_at(F.col("__v"), (source(o) - F.col("__first") + 1).cast("int"))), F.lit(0.0), lambda s, x: s + x)
-    full = (F.col("clip_idx") >= radius) & (F.col("clip_idx") + radius < F.col("__n"))
-    return rows.withColumn(value, F.when(full, inner).otherwise(edge)).drop("__n", "__v", "__first")
+    inside = (F.col("clip_idx") >= reach) & (F.col("clip_idx") + reach < F.col("__n"))
+    reflected = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda o: F.element_at("__v", (source(o) - F.col("__first") + 1).cast("int")))
+    rows = rows.withColumn("__v", F.when(inside, F.col("__v")).otherwise(reflected))
+
+    def smooth(kernel: list[tuple[int, float]]) -> Column:
+        r = kernel[-1][0]
+        values = F.slice("__v", reach - r + 1, 2 * r + 1)
+        return F.aggregate(F.zip_with(values, F.array(*[F.lit(w) for _, w in kernel]), lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
+
+    return rows.withColumn(name, F.array(*[smooth(k) for k in kernels])).drop("__n", "__v", "__first")
 
 
 def interpolated(samples: DataFrame, grid: DataFrame) -> DataFrame:

@@ -587,12 +587,12 @@ def _sweep() -> str:
 
 @query(_with(A.CLIPS, A.INDEX, A.INTERVALS) + "SELECT sigma::DOUBLE AS sigma, * EXCLUDE (sigma) FROM (" + _sweep() + ")")
 def sigma_sweep(spark: SparkSession, d: str) -> DataFrame:
-    c = A.clips(spark, d)
-    idx, ivs = A.index(c), A.intervals(c)
-    rows = None
-    for s in (0.0, 2.0, 5.0, 10.0, 20.0):
-        w = R.weighted_rows(G.gaussian(c, s), idx, ivs).withColumn("sigma", F.lit(s))
-        rows = w if rows is None else rows.unionByName(w)
+    """All kernels in one pass over the clips, and one count of each clip's frames for all of them."""
+    c, sigmas = A.clips(spark, d), [0.0, 2.0, 5.0, 10.0, 20.0]
+    w = R.weighted_rows(G.gaussians(c, sigmas).withColumn("score", F.col("smoothed")), A.index(c), A.intervals(c))
+    scores = F.coalesce("score", F.array(*[F.lit(0.0)] * len(sigmas)))
+    each = F.zip_with(F.array(*[F.lit(s) for s in sigmas]), scores, lambda a, b: F.struct(a.alias("sigma"), b.alias("score")))
+    rows = w.select("pos", "neg", F.inline(each))
     return rounded(M.ranking_metrics(M.curve(_places(rows), ["sigma"]), ["sigma"]))
 
 
