@@ -319,8 +319,9 @@ def test_prompts_and_runs(spark, tmp_path):
     c = N.RunConfig.from_lines(["export SIGMA='5'", "INTERVAL=8", "# x", "ROOT=/a b"])
     assert (c.sigma, c.interval, c.other) == (5.0, 8, {"ROOT": "/a b"})
     folder = f"file://{tmp_path}"
-    assert N.claim(spark, folder) and not N.claim(spark, folder)
-    N.release(spark, folder)
+    held = N.claim(spark, folder)
+    assert held and not N.claim(spark, folder)
+    N.release(spark, held)
     assert N.claim(spark, folder)
     with pytest.raises(ValueError):
         U.fuse(series(spark, [2]), "none")

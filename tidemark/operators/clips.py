@@ -115,14 +115,3 @@ def job_contiguous(items: DataFrame, jobs: int, order: list[str]) -> DataFrame:
     q, r, k = F.floor(F.col("__n") / jobs), F.col("__n") % jobs, F.col("position")
     job = F.when(k < r * (q + 1), F.floor(k / (q + 1))).otherwise(r + F.floor((k - r * (q + 1)) / F.greatest(q, F.lit(1))))
     return rows.withColumn("job", job.cast("int")).drop("__n")
-
-
-def balanced_jobs(work: list[tuple[str, int]], jobs: int) -> list[tuple[str, int, int]]:
-    """Longest work first to the least loaded job, the lowest number on ties: (name, work, job). A driver-side plan of few names."""
-    load = [0] * jobs
-    out = []
-    for name, size in sorted(work, key=lambda x: (x[1], x[0]), reverse=True):
-        k = min(range(jobs), key=lambda j: (load[j], j))
-        load[k] += size
-        out.append((name, size, k))
-    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .metrics import average_ranks, quantiles
+from .metrics import average_ranks, quantiles, rank_auc
 
 NAN = float("nan")
 
@@ -76,6 +76,24 @@ def delta_summary(pairs: DataFrame) -> DataFrame:
     return got.join(F.broadcast(middle), how="left").select("count", "mean", "median", "mean_abs", "raised", "lowered")
 
 
+def scope_summary(pairs: DataFrame) -> DataFrame:
+    """One row on what a second look (b) does to clips that a first one (a) passed, positive or not: clips, positive, negative, area under ROC by a and by b and its change, the
+    delta summary of all, of the positive ones (fn) and of the others (tn), and how much more the positive ones rise on average. NaN where a class is missing. pairs: a, b, positive."""
+    nan = F.lit(NAN)
+    sides = pairs.select(F.explode(F.array(F.struct(F.lit("initial").alias("side"), F.col("a").alias("v")), F.struct(F.lit("verify").alias("side"), F.col("b").alias("v")))).alias("x"), "positive")
+    auc = rank_auc(sides.select("x.side", "x.v", "positive"), "v", F.col("positive"), ["side"])
+    auc = auc.agg(*[F.coalesce(F.max(F.when(F.col("side") == s, F.col("auc"))), nan).alias(f"{s}_auc") for s in ("initial", "verify")])
+    scopes = F.array(F.lit("all"), F.when(F.col("positive"), "fn").otherwise("tn"))
+    d = pairs.select((F.col("b") - F.col("a")).alias("d"), F.explode(scopes).alias("scope"))
+    share = lambda c: F.avg(c.cast("double"))
+    got = d.groupBy("scope").agg(F.count("*").alias("count"), F.avg("d").alias("mean"), F.avg(F.abs("d")).alias("mean_abs"), share(F.col("d") > 0).alias("raised"), share(F.col("d") < 0).alias("lowered"))
+    got = got.join(quantiles(d, "d", {"median": 0.5}, ["scope"]), "scope")
+    names = ("mean", "median", "mean_abs", "raised", "lowered")
+    one = got.agg(*[F.coalesce(F.max(F.when(F.col("scope") == s, F.col("count"))), F.lit(0).cast("bigint")).alias(n) for s, n in (("all", "clips"), ("fn", "positive"), ("tn", "negative"))],
+                  *[F.coalesce(F.max(F.when(F.col("scope") == s, F.col(n))), nan).alias(f"{s}_{n}") for s in ("all", "fn", "tn") for n in names])
+    return one.crossJoin(auc).withColumns({"auc_change": F.col("verify_auc") - F.col("initial_auc"), "mean_gap": F.col("fn_mean") - F.col("tn_mean")})
+
+
 def pava_summary(rows: DataFrame) -> DataFrame:
     """One row over clips with violations, pava_l1, pava_l2, pava_max."""
     hit = (F.col("violations") > 0).cast("double")

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import intervals as I
 from .intervals import merged  # noqa: F401  part of this module's interface
+from .quality import looked_up
 
 
-def expanded(clips: DataFrame, index: DataFrame, interval: int = 16) -> DataFrame:
+def expanded(clips: DataFrame, index: DataFrame, interval: int = 16, strict: bool = False) -> DataFrame:
     """video_id, frame (from 0), score: the k-th clip's score on frames [interval k, interval (k + 1)), cropped to the video, 0 beyond the last clip.
-    index: video_id, start_frame, end_frame (inclusive)."""
+    index: video_id, start_frame, end_frame (inclusive). A video without any clip is 0 throughout, or an error if strict."""
+    if strict:
+        index = looked_up(index, clips.select("video_id").distinct(), ["video_id"], what="the scores")
     frames = index.select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end_frame") - F.col("start_frame"))).alias("frame"))
     frames = frames.withColumn("clip_idx", F.floor(F.col("frame") / interval).cast("int"))
     return frames.join(clips.select("video_id", "clip_idx", "score"), ["video_id", "clip_idx"], "left").select("video_id", "frame", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -50,8 +50,9 @@ def overlap_mean(clips: DataFrame, seconds: float = 10.0, logits: bool = False)
     return rows.withColumn("score", sigmoid(out) if logits else out).drop("near")
 
 
-def weighted_median(pairs: Column) -> Column:
-    """Lower weighted median of an array of (v, w): the first v in order (stable) whose cumulated weight reaches half of the total."""
+def weighted_median(pairs: Column, strict: bool = False) -> Column:
+    """Lower weighted median of an array of (v, w): the first v in order (stable) whose cumulated weight reaches half of the total. Arrays that have none are an error if strict; see checked_weights."""
+    pairs = checked_weights(pairs) if strict else pairs
     ranked = F.array_sort(F.transform(pairs, lambda p, k: F.struct(p["v"].alias("v"), k.alias("k"), p["w"].alias("w"))))
     half = _total(F.transform(pairs, lambda p: p["w"])) / 2.0 - 1e-12  # sums in another order make the same choice
     start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("m"))
@@ -59,6 +60,14 @@ def weighted_median(pairs: Column) -> Column:
     return F.aggregate(ranked, start, step)["m"]
 
 
+def checked_weights(pairs: Column) -> Column:
+    """An array of (v, w) as it is, or an error: it must not be empty, every value and weight must be finite, no weight negative, and one positive."""
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    said = F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, "a weighted median needs a value").when(F.exists(pairs, lambda p: odd(p["v"]) | odd(p["w"])), "values and weights must be finite")
+    said = said.when(F.exists(pairs, lambda p: p["w"] < 0), "weights must not be negative").when(~F.exists(pairs, lambda p: p["w"] > 0), "one weight must be positive")
+    return F.when(said.isNotNull(), F.raise_error(said).cast("array<struct<v:double,w:double>>")).otherwise(pairs)
+
+
 def adaptive(clips: DataFrame, seconds: float = 10.0) -> DataFrame:
     """Robust consensus of the neighbours, taken over as far as the clip is uncertain.
 

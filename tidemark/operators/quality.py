@@ -97,3 +97,17 @@ def latest(results: DataFrame) -> DataFrame:
     """video_id, center_frame, score, error of the last attempt at each clip."""
     best = F.max_by(F.struct("score", "error"), "attempt").alias("r")
     return results.groupBy(*KEYS).agg(best).select(*KEYS, "r.score", "r.error")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], strict: bool = True, what: str = "the table") -> DataFrame:
+    """rows with the columns of table by keys. A key that the table lacks is an error, which counts the keys and names the first ten, or gives nulls if strict is off. The error
+    is raised by the query itself: what is missing is counted in the same job, and no row gets out before."""
+    got = rows.join(table, keys, "left")
+    if not strict:
+        return got
+    missing = rows.select(*keys).distinct().join(table.select(*keys), keys, "left_anti")
+    named = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    first = missing.orderBy(*keys).limit(10).select(named.alias("k")).agg(F.array_join(F.array_sort(F.collect_list("k")), ", ").alias("__first"))
+    bad = missing.agg(F.count("*").alias("__missing")).crossJoin(first)
+    said = F.concat(F.col("__missing").cast("string"), F.lit(f" keys have no row in {what}, the first: "), F.col("__first"))
+    return got.crossJoin(F.broadcast(bad)).where(F.when(F.col("__missing") > 0, F.raise_error(said).cast("boolean")).otherwise(True)).drop("__missing", "__first")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ordinal as O, prompts as P, text as X
-from ..operators import clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
+from ..operators import balance as B, clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
 from ..sources import readers, writers
 from . import adapters as A, runs as N
 
@@ -210,22 +210,42 @@ def job_split_contiguous(spark: SparkSession, d: str) -> DataFrame:
     return C.job_contiguous(A.clips(spark, d).select("video_id").distinct(), 7, ["video_id"]).select("video_id", big("job"))
 
 
-@query()
+_LPT = """wk AS (SELECT video_id::VARCHAR AS video_id, count(*) AS work FROM clips WHERE positive GROUP BY 1), sk AS (SELECT *, row_number() OVER (ORDER BY work DESC, video_id DESC) AS k FROM wk),
+lp AS (SELECT 0::BIGINT AS k, '' AS video_id, 0::BIGINT AS work, 0::BIGINT AS p, [0, 0, 0, 0]::BIGINT[] AS loads
+UNION ALL SELECT sk.k, sk.video_id, sk.work, list_position(loads, list_min(loads)), list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + sk.work ELSE x END) FROM lp JOIN sk ON sk.k = lp.k + 1)"""
+
+
+@query("WITH RECURSIVE " + A.CLIPS + ", " + _LPT + " SELECT video_id, work, p - 1 AS job FROM lp WHERE k > 0")
 def lpt_balance(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy balance of the clips left to score in each video: a plan over few names, made on the driver."""
+    """Greedy balance of the clips left to score in each video."""
     c = A.clips(spark, d)
     left = Q.pending(c.select("video_id", "center_frame"), c.where("not positive").select("video_id", "center_frame"), c.limit(0).select("video_id", "center_frame"))
-    work = [(str(r.video_id), r.n) for r in left.groupBy("video_id").agg(F.count("*").alias("n")).collect()]
-    return spark.createDataFrame(C.balanced_jobs(work, 4), "video_id string, work bigint, job int")
+    work = left.groupBy(F.col("video_id").cast("string").alias("name")).agg(F.count("*").alias("work"))
+    return B.balanced_jobs(work, 4).select(F.col("name").alias("video_id"), "work", big("job"))
 
 
-@query()
+def _nearest(target: str, more: str = "") -> str:
+    return f"(list_min([{{'d': abs(t[i + 1] - ({target})), 'i': i}} for i in range(0, 20) if NOT list_contains(taken, i){more}])).i"
+
+
+_PICK = f"""cd AS (SELECT video_id * 100000 + clip_idx AS key, [start_time + (end_time - start_time) * k / 19 for k in range(0, 20)] AS t, center_frame / fps::DOUBLE AS c,
+CASE WHEN end_time - start_time <= 4 THEN start_time ELSE least(greatest(center_frame / fps::DOUBLE - 2, start_time), end_time - 4) END AS a,
+CASE WHEN end_time - start_time <= 4 THEN end_time ELSE least(greatest(center_frame / fps::DOUBLE - 2, start_time), end_time - 4) + 4 END AS z FROM wins),
+st AS (SELECT *, 1 AS step, []::BIGINT[] AS taken, []::DOUBLE[] AS missed FROM cd UNION ALL
+SELECT key, t, c, a, z, step + 1, CASE WHEN i IS NULL THEN taken ELSE list_append(taken, i) END, CASE WHEN i IS NULL AND step BETWEEN 5 AND 10 THEN list_append(missed, a + (z - a) * (step - 5) / 5) ELSE missed END FROM
+(SELECT *, CASE WHEN step <= 4 THEN {_nearest('t[1] + (t[20] - t[1]) * (step - 1) / 3')} WHEN step <= 10 THEN {_nearest('a + (z - a) * (step - 5) / 5', ' AND t[i + 1] >= a - 1e-9 AND t[i + 1] <= z + 1e-9')}
+WHEN step - 10 <= len(missed) THEN {_nearest('missed[step - 10]')} WHEN len(taken) < 10 THEN {_nearest('c')} END AS i FROM st WHERE step <= 26))
+"""
+
+
+@query("WITH RECURSIVE " + ",\n".join([A.CLIPS, _VIDEOS, _WINDOWS, _PICK]) + "SELECT key, list_transform(list_sort(list_transform(taken, lambda i: {'t': t[i + 1], 'i': i})), lambda x: x.i) AS indices FROM st WHERE step = 27")
 def center_dense_select(spark: SparkSession, d: str) -> DataFrame:
     v = _videos(A.clips(spark, d))
     w = C.clip_windows(v).join(v.select("video_id", "fps"), "video_id")
     mid = F.col("center_frame") / F.col("fps")
     a, z = C.shifted_interval(F.col("start_time"), F.col("end_time"), mid, 4.0)
-    return S.dense_selected(w.select((F.col("video_id") * 100000 + F.col("clip_idx")).alias("key"), C.uniform_targets(F.col("start_time"), F.col("end_time"), 20).alias("times"), mid.alias("center"), a.alias("start"), z.alias("end")))
+    got = S.dense_selected(w.select((F.col("video_id") * 100000 + F.col("clip_idx")).alias("key"), C.uniform_targets(F.col("start_time"), F.col("end_time"), 20).alias("times"), mid.alias("center"), a.alias("start"), z.alias("end")))
+    return got.select("key", F.col("indices").cast("array<bigint>").alias("indices"))
 
 
 @query()
@@ -500,7 +520,7 @@ _MEDIAN = """{0} AS (SELECT video_id, clip_idx, arg_min(x, (x, j)) AS med FROM (
 @query(_with(A.CLIPS, _NEAR, "nx AS (SELECT *, v AS x FROM nb)", _MEDIAN.format("m1", "nx")) + "SELECT video_id, clip_idx, round(med, 6) AS median FROM m1")
 def weighted_median(spark: SparkSession, d: str) -> DataFrame:
     near = F.transform("near", lambda x: F.struct(x["score"].alias("v"), F.greatest(F.lit(0.0), 1.0 - x["d"] / 5.0).alias("w")))
-    return rounded(U.neighbours(A.clips(spark, d), 10.0).select("video_id", "clip_idx", U.weighted_median(near).alias("median")))
+    return rounded(U.neighbours(A.clips(spark, d), 10.0).select("video_id", "clip_idx", U.weighted_median(near, strict=True).alias("median")))
 
 
 @query(
@@ -834,7 +854,11 @@ def summaries_joined(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), ", ").alias("summary"))
 
 
-@query()
+#: A double as it stands in JSON: plain from a thousandth on, with an exponent below.
+_JSON = "CASE WHEN score = 0 OR score >= 0.001 THEN score::VARCHAR ELSE round(score * pow(10, -floor(log10(score))), 6)::VARCHAR || 'E' || floor(log10(score))::BIGINT END"
+
+
+@query(_with(A.CLIPS) + f"SELECT video_id, '{{' || string_agg('\"' || center_frame || '\":' || {_JSON}, ',' ORDER BY center_frame) || '}}' AS value FROM clips GROUP BY video_id")
 def score_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """What is written for each video: one JSON object of frame -> score."""
     return writers.score_maps(A.clips(spark, d))
@@ -883,5 +907,4 @@ def bootstrap_random(spark: SparkSession, d: str) -> DataFrame:
 def seeded_windows(spark: SparkSession, d: str) -> DataFrame:
     """A hundred windows in an order drawn by digest: the same on every run."""
     c = A.clips(spark, d)
-    key = F.sha2(F.concat_ws(":", F.lit("17"), F.col("video_id").cast("string"), F.col("center_frame").cast("string")).cast("binary"), 256)
-    return c.select("video_id", "center_frame", key.alias("key")).orderBy("key").limit(100)
+    return S.seeded_head(c.select("video_id", "center_frame"), ["video_id", "center_frame"], 100)

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources import snapshots
+
 
 @dataclass
 class RunConfig:
@@ -33,15 +35,13 @@ class RunConfig:
         return cls(**known, other=other)
 
 
-def claim(spark: SparkSession, folder: str) -> bool:
-    """True if this call made the folder's lock file: one run at a time owns an output, on any Hadoop file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_lock")
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(path))
+def claim(spark: SparkSession, folder: str, seconds: float = 3600.0, now: int | None = None) -> snapshots.Lease | None:
+    """A lease on an output folder, or None while another run holds one: one run at a time owns an output, on any Hadoop file system, and a run that dies loses it when its time is up."""
+    return snapshots.acquire(spark, folder, seconds, now=now)
 
 
-def release(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_lock")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+def release(spark: SparkSession, lease: snapshots.Lease) -> None:
+    snapshots.release(spark, lease)
 
 
 def run_record(scores: DataFrame, errors: DataFrame, seconds: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def score_maps(scores: DataFrame) -> DataFrame:
@@ -44,6 +44,11 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def config_hash_of(config: Column) -> Column:
+    """config_hash of a struct column whose fields are in the order of their names."""
+    return F.sha2(F.to_json(config).cast("binary"), 256)
+
+
 def check_manifest(saved: dict | None, config: dict) -> dict:
     """The manifest of a run; an error if the saved one belongs to another configuration."""
     made = {"config": config, "config_sha256": config_hash(config)}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..backends import SCHEMA, scored
 from ..operators.quality import latest, pending
 from ..plans.runs import claim, release
+from ..sources.snapshots import check
 
 RESULTS = SCHEMA + ", attempt bigint"
 
@@ -35,19 +36,20 @@ def errors(spark: SparkSession, out: str) -> DataFrame:
 def score_pending(clips: DataFrame, out: str, backend: str, **options) -> tuple[int, int]:
     """Score the clips that have no score or whose last attempt failed, and append the attempt: (scored, failed). One run at a time: another that holds the folder is an error."""
     spark = clips.sparkSession
-    if not claim(spark, out):
+    if (lease := claim(spark, out)) is None:
         raise RuntimeError(f"another run owns {out}")
     try:
         tried = results(spark, out)
         attempt = tried.agg(F.coalesce(F.max("attempt"), F.lit(0)) + 1).first()[0]
         done = latest(tried)
         left = pending(clips, done, done.where("error is not null"))
+        check(spark, lease)
         scored(left, backend, **options).withColumn("attempt", F.lit(attempt).cast("bigint")).write.mode("append").parquet(f"{out}/results")
         made = results(spark, out).where(F.col("attempt") == attempt)
         good, bad = made.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
         return good, bad
     finally:
-        release(spark, out)
+        release(spark, lease)
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, out: str, backend: str, files: int = 16, **options):
