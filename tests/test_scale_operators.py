@@ -55,7 +55,7 @@ def test_no_task_holds_a_video_of_many_intervals(spark, monkeypatch):
     monkeypatch.setattr(I, "BUCKET", 1 << 12)
     n = 100_000
     ivs = spark.range(n).select(F.lit("v").alias("video_id"), F.col("id").alias("ordinal"), (F.col("id") * 7 % n * 4).alias("start"), (F.col("id") * 7 % n * 4 + 5_000).alias("stop"), (F.col("id") % 9).cast("int").alias("label"))
-    got = I.pieces(ivs).agg(F.count("*"), F.count_if("hit")).first()
+    got = I.pieces(ivs).agg(F.count("*"), F.count("label")).first()
     assert got[0] > 100_000 and got[1] >= got[0] - 1
     points = spark.createDataFrame([("v", 200_000)], "video_id string, t bigint")
     over = [k for k in range(n) if k * 7 % n * 4 <= 200_000 <= k * 7 % n * 4 + 5_000]
@@ -81,17 +81,32 @@ def test_projection(spark, seconds):
             assert values[0] in [r[2] for r in own if abs(r[1] - f) == near]
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e12, 1e-9])
-def test_bands_are_even_wherever_values_lie(spark, scale):
-    df = spark.range(200_000).select((F.lit(1.7e3 * scale) + F.col("id") * scale / 1e4).alias("x"))
+@pytest.mark.parametrize("name", ["even", "times", "small", "prices", "lump", "signs"])
+def test_bands_are_even_wherever_values_lie(spark, name, monkeypatch):
+    n = 200_000
+    k = F.col("id")
+    x = {
+        "even": k / 1e4, "times": F.lit(1.7e12) + k, "small": F.lit(1e-9) + k * 1e-15, "prices": F.exp(F.pmod(k * 7919, F.lit(n)) / 20_000.0),
+        "lump": F.when(k % 2 == 0, F.lit(5e8) + k).otherwise(F.lit(1e3) + k * 1e-6), "signs": (k - 100_000) / 7.0,
+    }[name]
+    df = spark.range(n).select(x.alias("x"))
+    monkeypatch.setattr(ranges, "LEAST", 100)
     sizes = [r.n for r in ranges.banded(df, "x", 64, "b").groupBy("b").agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) == 64 and max(sizes) <= 2 * 200_000 / 64
-    assert ranges.banded(df.limit(0), "x").count() == 0
-    odd = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (1.0,), (-math.inf,), (math.inf,)], "x double")
-    assert ranges.banded(odd, "x", 4).where("x is null").first()["__band"] == -1
+    assert len(sizes) == 64 and max(sizes) <= 2 * n / 64
+    got = ranges.running(df.groupBy("x").agg(F.count("*").alias("n")), [], "x", {"n": "n"}, 64)
+    assert got.where("all_n <> 200000").count() == 0
+    assert {r.x: r.run_n for r in got.collect()} == {x: i for i, x in enumerate(sorted((r.x for r in df.collect()), reverse=True), 1)}
 
 
-def test_numbers(spark):
+def test_odd_values_have_their_place(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST", 1)
+    odd = spark.createDataFrame([(None, 1), (float("nan"), 2), (1.0, 3), (1.0, 4), (-math.inf, 5), (math.inf, 6), (-0.0, 7), (5e-324, 8), (-1e308, 9), (1.7e308, 10)], "x double, k int")
+    got = [r.k for r in sorted(ranges.numbered(odd, ["x", "k"]).collect(), key=lambda r: r.position)]
+    assert got == [1, 5, 9, 7, 8, 3, 4, 10, 6, 2] and ranges.numbered(odd.limit(0), ["x"]).count() == 0
+
+
+def test_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST", 10)
     rng = random.Random(3)
     rows = [(rng.choice(["ab", "b", "ü", "", None, "abcdefgh1", "abcdefgh0"]), rng.randrange(40), k) for k in range(500)]
     df = spark.createDataFrame(rows, "s string, n bigint, k bigint")
@@ -105,7 +120,8 @@ def test_numbers(spark):
     assert [r.job for r in sorted(jobs, key=lambda r: r.k)] == [j for j in range(7) for _ in range(500 // 7 + (j < 500 % 7))]
 
 
-def test_quantiles_of_large_values(spark):
+def test_quantiles_of_large_values(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST", 10)
     values = [1.7e12 + (k * 7919 % 5003) for k in range(5003)] + [None, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = M.quantiles(df, "v", {f"q{k}": k / 20 for k in range(21)}).first()

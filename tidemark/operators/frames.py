@@ -30,11 +30,13 @@ def weighted_rows(clips: DataFrame, index: DataFrame, intervals: DataFrame, inte
     """video_id, clip_idx, score, pos, neg: a clip's frames inside and outside of the union of intervals, and one row of score 0 (clip_idx -1) for the
     frames beyond the last clip. As good as frames for any metric over them, in a sixteenth of the rows. Arrays of scores pass as well: the row beyond then has a null."""
     n = F.col("end_frame") - F.col("start_frame") + 1
-    at = (F.col("clip_idx") * interval).cast("bigint")
-    rows = clips.join(index, "video_id").select("video_id", "clip_idx", "score", at.alias("a"), F.least(at + interval, n).alias("z"), "start_frame", n.alias("n"))
-    rest = rows.groupBy("video_id").agg(F.max("a").alias("a"), F.max("n").alias("z"), F.max("start_frame").alias("start_frame"))
-    rest = rest.select("video_id", F.lit(-1).alias("clip_idx"), _zero(clips).alias("score"), (F.col("a") + interval).alias("a"), "z", "start_frame")
-    blocks = rows.drop("n").unionByName(rest).select("video_id", "clip_idx", "score", (F.col("a") + F.col("start_frame")).alias("a"), (F.col("z") + F.col("start_frame")).alias("z"))
+    rows = clips.join(index, "video_id").select("video_id", "clip_idx", "score", "start_frame", n.alias("n"))
+    rows = rows.withColumn("last", F.max("clip_idx").over(Window.partitionBy("video_id")))
+    at = lambda k: (F.col("start_frame") + F.least(F.col(k) * interval, "n")).cast("bigint")
+    end = lambda k: (F.col("start_frame") + F.least((F.col(k) + 1) * interval, "n")).cast("bigint")
+    own = F.struct("clip_idx", "score", at("clip_idx").alias("a"), end("clip_idx").alias("z"))
+    rest = F.struct(F.lit(-1).cast(clips.schema["clip_idx"].dataType).alias("clip_idx"), _zero(clips).alias("score"), end("last").alias("a"), (F.col("start_frame") + F.col("n")).cast("bigint").alias("z"))
+    blocks = rows.select("video_id", F.inline(F.when(F.col("clip_idx") == F.col("last"), F.array(own, rest)).otherwise(F.array(own))))
     return I.covered(blocks, intervals).select("video_id", "clip_idx", "score", F.col("inside").alias("pos"), (F.col("n") - F.col("inside")).alias("neg"))
 
 

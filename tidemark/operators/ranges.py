@@ -1,13 +1,17 @@
-"""Bands of equal size along an order, and numbers and sums across them: no task holds all rows, however the values lie.
+"""Bands of like size along an order, and numbers and sums across them: no task holds all rows, however the values lie.
 
-Borders are quantiles of the rows by Spark's mergeable sketch, taken in the same query, so a band has at most 2 / BANDS of the rows, rows of one value aside.
+The rows are written to the shared folder once, which ends their lineage; then one pass with Spark's mergeable quantile sketch gives the borders, at most BANDS - 1 numbers that come to
+the driver. By the sketch's bound a band has at most 2 / BANDS of the rows, rows of one value aside. Small tables have fewer bands.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-BANDS = 1024
+from ..sources.storage import stored
+
+#: Bands at most, and rows of a band at least.
+BANDS, LEAST = 1024, 4096
 
 
 def axis(rows: DataFrame, column: str) -> Column:
@@ -22,15 +26,20 @@ def axis(rows: DataFrame, column: str) -> Column:
 
 
 def banded(rows: DataFrame, column: str, bands: int = BANDS, name: str = "__band") -> DataFrame:
-    """rows with a band, 0 to bands - 1, that rises with the column; nulls are in band -1. bands: a power of two."""
-    x = axis(rows, column)
-    shares = F.array(*[F.lit(k / bands) for k in range(1, bands)])
-    borders = rows.select(x.alias("x")).where("x is not null").agg(F.percentile_approx("x", shares, F.lit(16 * bands)).alias("b")).scalar()
-    marked = rows.withColumn("__borders", borders).withColumn("__x", x)
-    # how many borders are at or below the value: a binary search in halving steps
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bands.bit_length() - 1))])
-    found = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get("__borders", at + s - 1) <= F.col("__x"), s).otherwise(0))
-    return marked.withColumn(name, F.when(F.col("__x").isNull(), F.lit(-1)).otherwise(found)).drop("__borders", "__x")
+    """rows, stored, with a band from 0 that rises with the column; nulls are in band -1."""
+    kept = stored(rows, "bands")
+    x = axis(kept, column)
+    shares = [k / bands for k in range(1, bands)]
+    n, found = kept.select(x.alias("x")).agg(F.count("x"), F.percentile_approx("x", F.lit(shares), F.lit(16 * bands))).first()
+    parts = min(bands, -(-n // LEAST)) if n else 1
+    borders = sorted({found[k * bands // parts - 1] for k in range(1, parts)})
+    band = F.lit(0)
+    if borders:
+        # how many borders are at or below the value: a binary search in halving steps
+        steps = F.lit([1 << k for k in reversed(range(len(borders).bit_length()))])
+        at = lambda i: F.get(F.lit(borders), i)
+        band = F.aggregate(steps, F.lit(0), lambda s, step: s + F.when(at(s + step - 1) <= x, step).otherwise(0))
+    return kept.withColumn(name, F.when(x.isNull(), F.lit(-1)).otherwise(band))
 
 
 def running(rows: DataFrame, by: list[str], value: str, sums: dict[str, str], bands: int = BANDS) -> DataFrame:
@@ -41,6 +50,7 @@ def running(rows: DataFrame, by: list[str], value: str, sums: dict[str, str], ba
     group = Window.partitionBy(*by)
     above = group.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "__band", *[F.coalesce(F.sum(f"__t_{n}").over(above), F.lit(0)).alias(f"__a_{n}") for n in sums], *[F.sum(f"__t_{n}").over(group).alias(f"all_{n}") for n in sums])
+    totals = totals if by else F.broadcast(totals)  # without groups a row a band
     down = Window.partitionBy(*by, "__band").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
     run = spread.join(totals, [*by, "__band"]).select("*", *[(F.col(f"__a_{n}") + F.sum(c).over(down)).alias(f"run_{n}") for n, c in sums.items()])
     return run.drop("__band", *[f"__a_{n}" for n in sums])
@@ -53,5 +63,6 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position", by: list
     counts = spread.groupBy(*by, "__band").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*by, "__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    counts = counts if by else F.broadcast(counts)
     own = F.row_number().over(Window.partitionBy(*by, "__band").orderBy(*[F.asc_nulls_first(c) for c in order])) - 1
     return spread.join(counts, [*by, "__band"]).withColumn(name, F.col("__before") + own).drop("__band", "__before")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,3 +81,10 @@ def line(spark: SparkSession, path: str) -> str | None:
     finally:
         source.close()
     return text[:-1] if text.endswith("\n") else None
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder as Parquet and read back: it is made once, and a lost executor costs nothing before it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
