@@ -20,25 +20,28 @@ def gaussian(clips: DataFrame, sigma: float = 10.0, value: str = "score", by: li
 
 def gaussians(clips: DataFrame, sigmas: list[float], value: str = "score", by: list[str] = ("video_id",), name: str = "smoothed") -> DataFrame:
     """clips with an array of value smoothed by every sigma, in one ordered pass: each clip gathers the values of the widest kernel's reach once, and narrower kernels use the middle of
-    them. Reflection only concerns rows near an end and is done by index on what was gathered; a video shorter than the reach reflects more than once."""
+    them. Ends are reflected from what was gathered; a video shorter than the reach reflects more than once."""
     kernels = [gaussian_kernel(s) if s > 0 else [(0, 1.0)] for s in sigmas]
     reach = max(k[-1][0] for k in kernels)
     part = Window.partitionBy(*by)
     near = part.orderBy("clip_idx").rowsBetween(-reach, reach)
-    rows = clips.withColumn("__n", F.count("*").over(part)).withColumn("__v", F.collect_list(value).over(near)).withColumn("__first", F.greatest(F.col("clip_idx") - reach, F.lit(0)))
-    # o-th neighbour: its reflected index, minus the index of the first value gathered
+    rows = clips.withColumn("__n", F.count("*").over(part)).withColumn("__v", F.collect_list(value).over(near))
+    # how many neighbours are missing on either side; a mirror image of what is there stands in
+    left, right = F.greatest(reach - F.col("clip_idx"), F.lit(0)).cast("int"), F.greatest(F.col("clip_idx") + reach + 1 - F.col("__n"), F.lit(0)).cast("int")
+    mirrored = F.concat(F.reverse(F.slice("__v", F.lit(1), left)), "__v", F.reverse(F.slice("__v", F.size("__v") - right + 1, right)))
+    # a video that is shorter than what is missing is mirrored again and again: the o-th neighbour's index in it, minus the index of the first value gathered
     at = lambda o: F.pmod(F.col("clip_idx") + o, 2 * F.col("__n"))
     source = lambda o: F.when(at(o) < F.col("__n"), at(o)).otherwise(2 * F.col("__n") - 1 - at(o))
-    inside = (F.col("clip_idx") >= reach) & (F.col("clip_idx") + reach < F.col("__n"))
-    reflected = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda o: F.element_at("__v", (source(o) - F.col("__first") + 1).cast("int")))
-    rows = rows.withColumn("__v", F.when(inside, F.col("__v")).otherwise(reflected))
+    first = F.greatest(F.col("clip_idx") - reach, F.lit(0))
+    again = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda o: F.element_at("__v", (source(o) - first + 1).cast("int")))
+    rows = rows.withColumn("__v", F.when(F.greatest(left, right) <= F.col("__n"), mirrored).otherwise(again))
 
     def smooth(kernel: list[tuple[int, float]]) -> Column:
         r = kernel[-1][0]
         values = F.slice("__v", reach - r + 1, 2 * r + 1)
         return F.aggregate(F.zip_with(values, F.array(*[F.lit(w) for _, w in kernel]), lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
 
-    return rows.withColumn(name, F.array(*[smooth(k) for k in kernels])).drop("__n", "__v", "__first")
+    return rows.withColumn(name, F.array(*[smooth(k) for k in kernels])).drop("__n", "__v")
 
 
 def interpolated(samples: DataFrame, grid: DataFrame) -> DataFrame:
