@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import backends
 from tidemark.functions import ordinal as O, prompts as P, text as X
-from tidemark.operators import clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
+from tidemark.operators import balance, clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
 from tidemark.plans import runs as N
 from tidemark.sources import readers, writers
 from tidemark.streaming import incremental
@@ -232,7 +232,8 @@ def test_one_class_and_empty(spark):
     one = spark.createDataFrame([(0.1, 1, 0), (0.2, 1, 0)], "score double, pos int, neg int")
     assert math.isnan(M.ranking_metrics(M.curve(one)).first().roc_auc)
     assert M.curve(one.limit(0)).collect() == []
-    assert C.balanced_jobs([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == [("a", 5, 0), ("c", 3, 1), ("b", 3, 1), ("d", 1, 0)]
+    work = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1)], "name string, work bigint")
+    assert sorted(map(tuple, balance.balanced_jobs(work, 2).collect())) == [("a", 5, 0), ("b", 3, 1), ("c", 3, 1), ("d", 1, 0)]
 
 
 def test_extremes(spark):
@@ -245,11 +246,12 @@ def test_extremes(spark):
         assert r.highest_start == 16 * int(np.argmax(np.round(avg, 9))) and r.lowest_end == 16 * int(np.argmin(np.round(avg, 9))) + w
 
 
-def test_dense_pick():
-    times = [k * 0.5 for k in range(21)]
-    got = S.dense_pick(times, 5.0, 4.0, 6.0)
+def test_dense_pick(spark):
+    rows = [(0, [k * 0.5 for k in range(21)], 5.0, 4.0, 6.0), (1, [1.0], 1.0, 0.0, 2.0), (2, [], 1.0, 0.0, 2.0)]
+    picked = {r.key: r.indices for r in S.dense_selected(spark.createDataFrame(rows, "key bigint, times array<double>, center double, start double, end double")).collect()}
+    got = picked[0]
     assert len(got) == 10 and sorted(got) == got and {0, 20} <= set(got)
-    assert S.dense_pick([1.0], 1.0, 0.0, 2.0) == [0] * 10 and S.dense_pick([], 1.0, 0.0, 2.0) == []
+    assert picked[1] == [0] * 10 and picked[2] == []
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -25,12 +25,14 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[st
     by = list(by)
     per = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
     run = running(per, by, "__v", {"n": "__n"})
-    before, place = F.col("all_n") - F.col("run_n"), lambda q: F.lit(float(q)) * (F.col("all_n") - 1)
-    sides = [F.struct(F.lit(n).alias("n"), F.lit(k).alias("side"), edge(place(q)).alias("at"), (place(q) - F.floor(place(q))).alias("part")) for n, q in shares.items() for k, edge in enumerate((F.floor, F.ceil))]
-    asked = F.filter(F.array(*sides), lambda x: (x["at"] >= F.col("__lo")) & (x["at"] < F.col("__lo") + F.col("__n")))
-    met = run.withColumn("__lo", before).select(*by, "__v", F.explode(asked).alias("x"))
-    got = met.groupBy(*by).agg(*[F.max(F.when((F.col("x.n") == n) & (F.col("x.side") == k), F.struct(F.col("__v").alias("v"), F.col("x.part").alias("part")))).alias(f"__{k}_{n}") for n in shares for k in (0, 1)])
-    return got.select(*by, *[(F.col(f"__0_{n}.v") + (F.col(f"__1_{n}.v") - F.col(f"__0_{n}.v")) * F.col(f"__0_{n}.part")).alias(n) for n in shares])
+    # a share's place among the values lies between two whole numbers: the values there are numbered 2 i and 2 i + 1
+    listed = ", ".join(f"{float(q)}D" for q in shares.values())
+    places = f"flatten(transform(array({listed}), (q, i) -> array(struct(2 * i AS i, floor(q * (all_n - 1)) AS at), struct(2 * i + 1 AS i, ceil(q * (all_n - 1)) AS at))))"
+    asked = F.expr(f"filter({places}, x -> x.at >= all_n - run_n AND x.at < all_n - run_n + __n)")
+    met = run.select(*by, "__v", "all_n", F.explode(asked).alias("x"))
+    got = met.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("x.i", "__v"))).alias("m"), F.max("all_n").alias("n"))
+    part = lambda q: f"({float(q)}D * (n - 1) - floor({float(q)}D * (n - 1)))"
+    return got.select(*by, *[F.expr(f"m[{2 * i}] + (m[{2 * i + 1}] - m[{2 * i}]) * {part(q)}").alias(n) for i, (n, q) in enumerate(shares.items())])
 
 
 def unit_scale(rows: DataFrame, value: str, name: str, by: list[str] = ("video_id",), share: float = 0.95, floor: float = 1e-6) -> DataFrame:

@@ -29,17 +29,17 @@ def banded(rows: DataFrame, column: str, bands: int = BANDS, name: str = "__band
     """rows, stored, with a band from 0 that rises with the column; nulls are in band -1."""
     kept = stored(rows, "bands")
     x = axis(kept, column)
-    shares = [k / bands for k in range(1, bands)]
-    n, found = kept.select(x.alias("x")).agg(F.count("x"), F.percentile_approx("x", F.lit(shares), F.lit(16 * bands))).first()
+    shares = ", ".join(f"{k / bands}D" for k in range(1, bands))
+    sketch = F.expr(f"percentile_approx(x, array({shares}), {16 * bands})")
+    n, found = kept.select(x.alias("x")).agg(F.count("x"), sketch).first()
     parts = min(bands, -(-n // LEAST)) if n else 1
     borders = sorted({found[k * bands // parts - 1] for k in range(1, parts)})
-    band = F.lit(0)
-    if borders:
-        # how many borders are at or below the value: a binary search in halving steps
-        steps = F.lit([1 << k for k in reversed(range(len(borders).bit_length()))])
-        at = lambda i: F.get(F.lit(borders), i)
-        band = F.aggregate(steps, F.lit(0), lambda s, step: s + F.when(at(s + step - 1) <= x, step).otherwise(0))
-    return kept.withColumn(name, F.when(x.isNull(), F.lit(-1)).otherwise(band))
+    if not borders:
+        return kept.withColumn(name, F.when(x.isNull(), F.lit(-1)).otherwise(0))
+    # how many borders are at or below the value: a binary search in halving steps
+    listed, steps = ", ".join(f"double('{b}')" for b in borders), ", ".join(str(1 << k) for k in reversed(range(len(borders).bit_length())))
+    band = F.expr(f"aggregate(array({steps}), 0, (s, step) -> s + if(get(array({listed}), s + step - 1) <= __x, step, 0))")
+    return kept.withColumn("__x", x).withColumn(name, F.when(F.col("__x").isNull(), F.lit(-1)).otherwise(band)).drop("__x")
 
 
 def running(rows: DataFrame, by: list[str], value: str, sums: dict[str, str], bands: int = BANDS) -> DataFrame:
