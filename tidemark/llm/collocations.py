@@ -46,8 +46,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def borders(docs: DataFrame, ranges: int, depth: int = DEPTH) -> list[Path]:
-    """Up to ranges - 1 paths (lang and `depth` words, the missing ones empty), rising. docs: as _texts() gives them."""
+def borders(docs: DataFrame, ranges: int, size: int, texts: int, depth: int = DEPTH) -> list[Path]:
+    """Up to ranges - 1 paths (lang and `depth` words, the missing ones empty), rising. docs: as _texts() gives them; size and texts: their bytes and number, by which as many of the
+    possible draws (one for each STRIDE bytes of a text) are passed over as leaves about 2 SAMPLE of them, so what comes to the driver does not grow with the input."""
+    share = min(1.0, 2 * SAMPLE / (size // STRIDE + texts + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -55,6 +57,8 @@ def borders(docs: DataFrame, ranges: int, depth: int = DEPTH) -> list[Path]:
             for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for at in range(0, len(text or b""), STRIDE):
                     h = xxhash.xxh64_intdigest(text[at : at + STRIDE], at)
+                    if h >= share * 2.0**64:
+                        continue
                     got = words_of(text[(k := at + h % STRIDE) : k + 64 * depth])[1:]
                     if got and got[0] != _END:
                         got = got[: min(depth, got.index(_END))]
@@ -295,9 +299,9 @@ def scored(phrases: DataFrame, covered: int = 80) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 30, most: int = 2_000, covered: int = 80, depth: int = DEPTH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `most` phrases of 2 to `depth` words. docs: lang, text."""
     spark, rows = docs.sparkSession, _texts(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("text")).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    at = borders(rows, ranges, depth)
+    at = borders(rows, ranges, size, texts, depth)
     nodes, _ = stored(merged(blocks(rows, at, depth), at, least, depth), "phrases")
     found = scored(linked(nodes, depth), covered)
     # a part of each language first, so that no task orders all phrases of one
