@@ -13,6 +13,8 @@ from ..plans.runs import claim, release
 from ..sources.snapshots import check
 
 RESULTS = SCHEMA + ", attempt bigint"
+#: A pass must end within its lease: longer than any pass takes, and not so long that a crash keeps the folder for days.
+LEASE_SECONDS = 24 * 3600.0
 
 
 def results(spark: SparkSession, out: str) -> DataFrame:
@@ -36,7 +38,7 @@ def errors(spark: SparkSession, out: str) -> DataFrame:
 def score_pending(clips: DataFrame, out: str, backend: str, **options) -> tuple[int, int]:
     """Score the clips that have no score or whose last attempt failed, and append the attempt: (scored, failed). One run at a time: another that holds the folder is an error."""
     spark = clips.sparkSession
-    if (lease := claim(spark, out)) is None:
+    if (lease := claim(spark, out, LEASE_SECONDS)) is None:
         raise RuntimeError(f"another run owns {out}")
     try:
         tried = results(spark, out)
