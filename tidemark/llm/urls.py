@@ -31,6 +31,11 @@ def parts(url: str) -> tuple[Column, Column]:
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _may_be(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key is null or may be listed. The filter is asked in the join's own condition, so it is never a part of a row."""
+    return rows.join(F.broadcast(bloom), F.col(key).isNull() | passes(F.col(key), blocks)).drop("bloom")
+
+
 def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages. rules: verdict, host, path."""
     rules = rules.groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("blocks"))
@@ -39,13 +44,16 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, broadcast
     bloom, blocks = bloom_filter(rules.select("key").unionByName(rules.select(F.col("host").alias("key"))).distinct(), 2 * count)
     rules = rules.drop("host")
     host, path = parts("url")
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")).crossJoin(F.broadcast(bloom))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    suffixes = F.filter(suffixes, lambda h: passes(h, blocks))
+    # a null suffix keeps the row, whatever the filter says of the others
+    named = rows.withColumn("suffix", F.explode(F.concat(F.array(F.lit(None).cast("string")), suffixes)))
+    listed = _may_be(named, "suffix", bloom, blocks)
     fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.concat(h, F.lit(" "), F.substring("path", F.lit(1), n)))))
-    asked = rows.withColumn("keys", F.filter(keys, lambda k: passes(k, blocks))).select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key"))
+    keys = F.transform(fitting, lambda n: F.concat("suffix", F.lit(" "), F.substring("path", F.lit(1), n)))
+    cut = listed.withColumn("key", F.explode(F.when(F.col("suffix").isNull(), F.array(F.lit(None).cast("string"))).otherwise(keys)))
+    asked = _may_be(cut, "key", bloom, blocks).select("row", "page_id", "host", "path", "key")
     if size <= broadcast_bytes:
         hits = asked.join(F.broadcast(rules), "key", "left")
     else:
