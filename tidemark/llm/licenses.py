@@ -1,8 +1,10 @@
 """License scans: canonical digests of entire texts, hash-joined to known licences. DataFrame functions only.
 
 Canonical form: A-Z lower-cased, http as https, equivalent spellings made one (licence, sub-licence, organisation, favour, "&", typographic quotes
-and dashes), lines that state a copyright, or only reserve all rights, taken out, list marks and every sign other than letters and digits made
-a blank, blanks collapsed and cut off. The SHA-256 of that form is looked up in the digests of the known texts.
+and dashes), list marks and every sign other than letters and digits made a blank, statements of copyright and the words "all rights reserved"
+taken out, blanks collapsed and cut off. A statement ends before the first words known to
+follow one (OPENERS) if they come in its paragraph, on whichever line, or begin the next; one within a line at the near end of its paragraph; any
+other with its line. So words between a holder and such words are taken for the holder's name. The SHA-256 of that form is looked up in the digests of the known texts.
 
 The whole text of a document is looked up, and so is each of its lines on its own, as a notice is a known text that stands alone on a line. Lines
 whose canonical form is longer than the longest known one-line notice are no candidates, so only few lines meet the join. A document gets
@@ -64,11 +66,6 @@ KNOWN = [
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     ),
 ]
-#: A line that states a copyright, with the break before it: the word or sign before a sign, a year, a place for one, or "by". A line of a licence's text that merely begins with "copyright
-#: notice" or "copyright holders" is none.
-COPYRIGHT = r"(^|\n)[^\n\p{L}\p{N}]*(copyright[^\n\p{L}\p{N}]*(\(c\)|©|[0-9]{4}|\[yyyy\]|<year>|by )|\(c\)[^\n\p{L}\p{N}]*(copyright|[0-9]{4}|by )|©)[^\n]*"
-#: A line that is only this.
-RESERVED = r"(^|\n)[^\n\p{L}\p{N}]*all rights reserved[^\n\p{L}\p{N}]*(\n|\z)"
 #: (found, made) in order, on lower-cased text. Fixed values.
 SPELLINGS = [
     ("licence", "license"),
@@ -79,19 +76,41 @@ SPELLINGS = [
     ("merchantibility", "merchantability"),
     ("http://", "https://"),
     ("&", " and "),
+    ("©", " copyright (c) "),
 ]
 SIGNS = r"[^\p{L}\p{N}\n]+"
+#: The sign that stands for a break between paragraphs while statements are sought (no other sign is left then).
+PARAGRAPH = "|"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: How a statement of copyright begins, in canonical lines: the word before a sign, a year, a place for one, or "by"; or the sign before a year or "by".
+STATES = r"(?:copyright[ \n])*(?:copyright[ \n](?:c[ \n]|[0-9]{4}|yyyy|year[ \n]|by[ \n])|c[ \n](?:[0-9]{4}|by[ \n]))"
+#: What follows a statement in the known texts, besides their own beginnings. Fixed values.
+OPENERS = [
+    "everyone is permitted", "permission is hereby granted", "permission is granted", "permission to use", "redistribution and use", "licensed under", "released under", "this program is free", "this library is free",
+    "this is free software", "this work is licensed", "to the extent possible", "the contents of this", "this source code form", "gnomovision version", "the precise terms", "preamble",
+]
+#: A statement that goes before one of these in its paragraph or at the beginning of the next, wherever lines break: at most so many signs, so that the sentence after it is kept whole.
+STATEMENT_SIGNS = 200
+STATEMENT = rf"(^|[ \n|]){STATES}[^|]{{0,{STATEMENT_SIGNS}}}?([ \n]|\n\|)({'|'.join(o.replace(' ', '[ \n]') for o in OPENERS)})"
+#: A statement within a line that ends its paragraph with a short name, on this line or the next.
+STATEMENT_END = rf" {STATES}[^|]{{0,60}}?(\n\|)"
+#: Any other line that begins as a statement, and a reservation anywhere.
+STATEMENT_LINE = rf"(^|\n)[ |]*{STATES}[^\n]*"
+RESERVED = r"(^|[ \n|])all[ \n]rights[ \n]reserved([ \n]|\z)"
+#: (found, made) in order; $k is group k.
+STEPS = [(SIGNS, " "), (r" ?\n ?", "\n"), (r"\n\n+", f"\n{PARAGRAPH}"), (STATEMENT, "$1$2$3"), (STATEMENT_END, "$1"), (STATEMENT_LINE, "$1"), (RESERVED, "$1$2")]
 #: Up to so many known texts are broadcast: 150 bytes each.
 BROADCAST_TEXTS = 100_000
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical form with its line breaks: every step stays within a line, so a line's form is the line of the form."""
-    x = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "$1"), RESERVED, "$1$2")
+    """The canonical form with its line breaks. A statement of copyright ends where the sentence after it begins, on whichever line, so that new line breaks change nothing else."""
+    x = F.translate(text, UPPER, LOWER)
     for found, made in SPELLINGS:
         x = F.replace(x, F.lit(found), F.lit(made))
-    return F.regexp_replace(x, SIGNS, " ")
+    for found, made in STEPS:
+        x = F.regexp_replace(x, found, made)
+    return F.replace(x, F.lit(PARAGRAPH), F.lit(" "))
 
 
 def canonical(lines: Column) -> Column:
@@ -136,10 +155,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    x = f"regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '\\1', 'g'), '{RESERVED}', '\\1\\2', 'g')"
+    x = f"translate({text}, '{UPPER}', '{LOWER}')"
     for found, made in SPELLINGS:
         x = f"replace({x}, '{found}', '{made}')"
-    return f"regexp_replace({x}, '{SIGNS}', ' ', 'g')"
+    for found, made in STEPS:
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, found, made.replace("$", "\\"))
+    return f"replace({x}, '{PARAGRAPH}', ' ')"
 
 
 _FORM = "trim(regexp_replace({0}, '[ \\n]+', ' ', 'g'))"
