@@ -67,7 +67,19 @@ def score_problems(spark: SparkSession, d: str) -> DataFrame:
     return Q.score_problems(A.clips(spark, d).withColumns({"score": score, "center_frame": center}), "clip_idx").withColumn("place", big("place"))
 
 
-@query("SELECT vec_id, vec_id % 2 <> 0 AND vec_id % 3 <> 0 AND vec_id % 5 <> 0 AS valid FROM embeddings")
+_MADE = (
+    "mg AS (SELECT vec_id, [((e[4 * k + 1] - e[4 * k + 2]) + (e[4 * k + 4] - e[4 * k + 3])) / 2 for k in range(0, 11)] AS m FROM opt)",
+    "ex AS (SELECT vec_id, m, [exp(x - list_max(m)) for x in m] AS x FROM mg)",
+    "wt AS (SELECT vec_id, m, [y / list_sum(x) for y in x] AS w FROM ex)",
+    "made AS (SELECT vec_id, m, w, list_sum([(k - 1) * w[k] for k in range(1, 12)]) / 10 AS s FROM wt)",
+    "held AS (SELECT vec_id, s + CASE WHEN vec_id % 2 = 0 THEN 1e-6 ELSE 0 END AS hs, [m[k] + CASE WHEN vec_id % 3 = 0 AND k = 7 THEN 1e-6 ELSE 0 END for k in range(1, 12)] AS hm, [w[k] + CASE WHEN vec_id % 5 = 0 AND k = 7 THEN 1e-6 ELSE 0 END for k in range(1, 12)] AS hw FROM made)",
+)
+
+
+@query(
+    _with(A.OPTIONS, *_MADE)
+    + "SELECT vec_id, hs BETWEEN 0 AND 1 AND abs(hs - s) < 1e-10 AND list_bool_and([abs(hm[k] - m[k]) < 1e-10 for k in range(1, 12)]) AND list_bool_and([abs(hw[k] - w[k]) < 1e-10 for k in range(1, 12)]) AS valid FROM made JOIN held USING (vec_id)"
+)
 def window_details(spark: SparkSession, d: str) -> DataFrame:
     """A stored window holds if its score, every margin and every weight are what its 22 rows give: here one of them is off in some windows."""
     rows = A.options(spark, d).withColumn("m", O.flat_margins("raw")).withColumn("w", O.softmax("m")).withColumn("s", O.flat_expectation("raw"))
