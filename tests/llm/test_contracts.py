@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidemark.llm import chat, ftrl, licenses, quality, simhash, toxicity, urls
+from tidemark.llm import chat, decontaminate, ftrl, licenses, quality, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 CONTRACT = {
@@ -261,3 +261,26 @@ def test_stages_without_labels_or_items_keep_all(spark, tmp_path, tables):
     d = tables["documents"]
     for stage in (p.toxicity_stage, p.quality_stage, p.decontamination_stage):
         assert stage(spark, d, str(tmp_path)).count() == d.count()
+
+
+# decontamination
+
+
+def test_short_and_shared_items_match_sql(spark, tmp_path, monkeypatch):
+    """Items of one to seven words, many of them in one text, held against it two at a time: the rows of the SQL, which takes short items too."""
+    import duckdb
+
+    monkeypatch.setattr("tidemark.llm.decontaminate.ASKED", 2)
+    rng = random.Random(9)
+    said = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(said) for _ in range(rng.choice((1, 3, 8, 400)))) for _ in range(60)] + ["", None]
+    pieces = [t.split() for t in texts if t and len(t.split()) > 10]
+    items = [" ".join(p[at : at + n]) for p in pieces for n in range(1, 8) for at in (rng.randrange(len(p) - n),)] + ["", None, "not there at all"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, item_id, shared, item_shingles, containment FROM ({decontaminate.ORACLE})").fetchall()
+    got = decontaminate.op6_decontaminate(spark, str(tmp_path)).select("doc_id", "item_id", "shared", "item_shingles", "containment").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({i for _, i, *_ in want}) > 30

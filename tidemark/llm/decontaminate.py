@@ -32,6 +32,8 @@ from .components import met
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: So many items, about, are held against a text at once.
+ASKED = 1024
 #: Bits of the filter for each sketch hash, and its bounds.
 BITS_PER_HASH = 128
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
@@ -167,22 +169,20 @@ def hits(lengths: list[int], bloom: Filter) -> Callable[[], Callable[[str | None
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, item, shared, item_shingles of the candidates (key, item, words, text) at THRESHOLD or more, on the shingles themselves. A text's rows come one after the
-    other: its shingles are made once."""
-    held, w, own = None, [], {}
+    """key, item, shared, item_shingles of the candidates (key, text, asked: a list of item and words) at THRESHOLD or more, on the shingles themselves."""
     for b in slices(batches):
         out = []
-        for key, item, said, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != held:
-                held, w, own = key, words(text), {}
-            asked = said.split(" ")
-            n = min(SHINGLE, len(asked))
-            if n not in own:
-                own[n] = grams(w, n)
-            asked = grams(asked, n)
-            shared = len(asked & own[n])
-            if shared >= THRESHOLD * len(asked) - 1e-9:
-                out.append((key, item, shared, len(asked)))
+        for key, text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            w, own = words(text), {}
+            for one in asked:
+                said = one["words"].split(" ")
+                n = min(SHINGLE, len(said))
+                if n not in own:
+                    own[n] = grams(w, n)
+                said = grams(said, n)
+                shared = len(said & own[n])
+                if shared >= THRESHOLD * len(said) - 1e-9:
+                    out.append((key, one["item"], shared, len(said)))
         cols = list(zip(*out, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "item", "shared", "item_shingles"])
 
@@ -207,7 +207,11 @@ def searched(docs: DataFrame, items: DataFrame, every: bool) -> tuple[DataFrame,
     pairs, _ = stored(met(asked, owners, "hash", asked.count()).select("key", "item").distinct(), "candidates")
     said = items.select("item", "words").distinct().join(counted(pairs, "item"), "item")
     texts = rows.where(F.size(passed) > 0).select(F.col(key).alias("key"), "text")
-    full = met(pairs, said, "item", pairs.count()).join(texts, "key").select("key", "item", "words", "text")
+    # a text meets up to about ASKED of its items in one row, so it is not copied for each
+    slots = counted(pairs, "key").select("key", F.expr(f"int(ceil(n / {ASKED}))").alias("slots"))
+    asking = met(pairs, said, "item", pairs.count()).select("key", "item", "words").join(slots, "key")
+    asking = asking.groupBy("key", F.expr("pmod(xxhash64(item), slots)").alias("slot")).agg(F.collect_list(F.struct("item", "words")).alias("asked"))
+    full = asking.join(texts, "key").select("key", "text", "asked")
     return rows.drop(passed), key, stored(full.mapInArrow(verified, "key bigint, item bigint, shared int, item_shingles int"), "contained")[0]
 
 
@@ -237,12 +241,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W = "[x for x in [regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') for w in regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]')] if x <> '']"
-_S = "list_distinct([array_to_string(w[i : i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)])"
+_S = "list_distinct([array_to_string(w[i : i + m - 1], ' ') for i in range(1, len(w) - m + 2)])"
 ORACLE = f"""
 WITH i AS (SELECT item_id, {_W} AS w FROM benchmark WHERE text IS NOT NULL),
-s AS (SELECT item_id, {_S} AS s FROM i WHERE len(w) >= 5),
-q AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM s),
+s AS (SELECT item_id, m, {_S} AS s FROM (SELECT *, least(5, len(w)) AS m FROM i WHERE len(w) > 0)),
+q AS (SELECT item_id, m, len(s) AS n, unnest(s) AS g FROM s),
 d AS (SELECT doc_id, {_W} AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest({_S}) AS g FROM d WHERE len(w) >= 5) WHERE g IN (SELECT g FROM q))
+p AS (SELECT DISTINCT doc_id, m, g FROM (SELECT doc_id, m, unnest({_S}) AS g FROM d JOIN (SELECT DISTINCT m FROM s) ON len(w) >= m) WHERE (m, g) IN (SELECT (m, g) FROM q))
 SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS shared, CAST(n AS INTEGER) AS item_shingles, round(count(*) / n, 6) AS containment
-FROM q JOIN p USING (g) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9"""
+FROM q JOIN p USING (m, g) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9"""
