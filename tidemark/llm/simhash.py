@@ -341,12 +341,16 @@ def links(distinct: DataFrame, search: Search = FINGERPRINT) -> DataFrame:
         side = lambda c: distinct.select(F.col("id").alias(c), F.col("fp").alias(f"f{c}"))
         apart = "aggregate(zip_with(fa, fb, (x, y) -> int(bit_count(x ^ y))), 0, (s, x) -> s + x)"
         found = found.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{apart} <= {search.most}")).select("a", "b")
+    # a plan of its own: with the tiles it would hold a dozen joins more
+    found, _ = stored(found, "found")
     hot, _ = stored(sizes.where("hot").select(*key, "nq", "nx", F.expr(f"int(ceil(nq / {TILE}))").alias("tq"), F.expr(f"int(ceil(nx / {TILE}))").alias("tx")), "hot")
-    total = hot.agg(F.coalesce(F.sum("nq"), F.lit(0)), F.coalesce(F.sum("nx"), F.lit(0))).first()
+    total = hot.agg(F.coalesce(F.sum("nq"), F.lit(0)), F.coalesce(F.sum("nx"), F.lit(0)), F.coalesce(F.max("nq"), F.lit(0)), F.coalesce(F.max("nx"), F.lit(0))).first()
+    if not total[0]:
+        return found
 
     def dealt(df: DataFrame, side: int) -> DataFrame:
         n, own, other = ("nq", "tq", "tx") if side == 0 else ("nx", "tx", "tq")
-        placed = met(df.select(*key, "id"), hot.select(*key, own, other, F.col(n).alias("n")), key, total[side])
+        placed = met(df.select(*key, "id"), hot.select(*key, own, other, F.col(n).alias("n")), key, total[side], total[2 + side])
         placed = placed.withColumn("own", F.expr(f"int(pmod(xxhash64(id, 7), {own}))")).withColumn("other", F.explode(F.expr(f"sequence(0, {other} - 1)")))
         iq, ix = ("own", "other") if side == 0 else ("other", "own")
         return placed.select(*key, F.col(iq).alias("iq"), F.col(ix).alias("ix"), "id", F.lit(side).alias("side"))
@@ -442,7 +446,7 @@ def similar_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
     heads, _ = stored(sets.groupBy("sketch").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "heads")
     roots = components(links(heads.select("id", F.col("sketch").alias("fp")), WIDE))
     grouped = heads.join(roots, heads["id"] == roots["node"], "left").select("sketch", "n", F.coalesce("root", "id").alias("root"))
-    groups = met(sets, grouped, "sketch", sets.count()).select("fp", "size", "row", "root")
+    groups, _ = stored(met(sets, grouped, "sketch", sets.count()).select("fp", "size", "row", "root"), "groups")
     sized = groups.groupBy("root").agg(F.count("*").alias("n"), F.expr(f"int(greatest(ceil(count(*) / {TILE_ROWS}), ceil(sum(size) / {TILE_SHINGLES})))").alias("tiles")).where("n > 1")
     tiled, _ = stored(met(groups, sized, "root", sets.count()).withColumn("own", F.expr("int(pmod(xxhash64(fp, 7), tiles))")), "tiled")
     # only texts of groups move: the others miss the filter
