@@ -1,14 +1,18 @@
 """The ten operators on small tables: brute force, round trips, held-out accuracy, and awkward rows."""
 
+import json
 import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from tidemark.llm import ann, chat, decontaminate, licenses, packing, quality, sharding, simhash, toxicity, urls
 from tidemark.llm.components import components
@@ -340,6 +344,46 @@ def test_every_piece_of_the_vocabulary_is_what_its_bytes_merge_to():
     assert e.words(made) == e.alone(made)
 
 
+def test_every_piece_is_what_the_tokenizer_makes_of_it():
+    """Within words and at their ends, so that no merge by rank differs from the tokenizer's, for stops as for letters."""
+    e = packing.Encoder(packing.public_tokenizers.path("word_bpe_49k.json"))
+    model = json.loads(e.tokenizer.to_str())["model"]
+    merges = [tuple(m) for m in model["merges"]]
+    ended, within = BPE(model["vocab"], merges, end_of_word_suffix="</w>"), BPE(model["vocab"], merges)
+    for piece, i in model["vocab"].items():
+        core = piece.removesuffix("</w>")
+        assert [t.id for t in (within if core == piece else ended).tokenize(core)] == [i]
+
+
+def test_texts_have_the_ids_of_the_tokenizer():
+    """Every letter that is merged by rank, stops, white space of all kinds, signs and letters of other scripts."""
+    e = packing.Encoder(packing.public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    signs = [*packing.LETTERS, *packing.STOPS * 4, *" \t\n\u00a0\u2028\x85" * 9, *"'0-", "İ", "Σς", "\u0301", "ﬁ", "你", "🙂", "<|endoftext|>", "'s", "...", "the ", "Straße, "]
+    made = [None, "", " ", "a" * 3_000, "?!" * 500, *("".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(3_000))]
+    for texts in (made, [*made, "a\x1cb c", "\x1f"], made[:3], []):
+        want = [ids + (1).to_bytes(4, "little") for ids in e.alone([t or "" for t in texts])]
+        assert e.texts(pa.array(texts, pa.string())) == want == e.texts(pa.array(texts, pa.large_string()))
+
+
+def test_calls_do_not_grow_with_the_new_words_of_a_batch():
+    """Calls from Python while a text of words not met before is encoded; one call or more for each of them took most of the CPU seconds."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices(["the", "on", "er", "sh", "ing", "éa", "ö", "re"], k=7)) for _ in range(8_000)]
+    calls = []
+    for n in (80, 8_000):
+        e = packing.Encoder(packing.public_tokenizers.path("word_bpe_49k.json"))
+        text, seen = pa.array([" ".join(words[:n]).title() + ", 10 ."]), Counter()
+        sys.setprofile(lambda frame, event, arg, seen=seen: seen.update([event]))
+        try:
+            got = e.texts(text)
+        finally:
+            sys.setprofile(None)
+        assert got[0][:-4] == e.alone(text.to_pylist())[0]
+        calls.append(seen["call"] + seen["c_call"])
+    assert calls[1] < calls[0] + 80
+
+
 def test_sequences_hold_every_id(spark):
     rows = texts(40, words=500)
     out = packing.sequences(docs(spark, rows)).collect()

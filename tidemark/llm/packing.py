@@ -15,6 +15,7 @@ are ignored. Every id lies in just one piece.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import struct
 import zlib
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -52,9 +54,10 @@ class Encoder:
 
     The tokenizer's normaliser makes every white space a blank, and its pre-tokenizer splits runs of letters, single digits and runs of other signs,
     which are then encoded alone. So a text's ids are those of its chunks between white space in turn, and a word with a tail of stops is
-    the word, then the tail. Chunks of up to 64 characters are kept in a memo, which is emptied when its bytes are over a bound. New words of Latin letters are merged by rank: the
-    vocabulary's ids are in the order of its merges and each of its pieces is what its own bytes merge to, so merging the pair of
-    least rank gives the tokenizer's ids; the end of a word is a byte that UTF-8 never has. All else goes to the tokenizer."""
+    the word, then the tail. The distinct chunks of a batch are encoded once, and Arrow deals their ids out to the texts. Words of Latin letters, with
+    or without a tail, are merged by rank, all in one call: the vocabulary's ids are in the order of its merges and each of its pieces is what its own
+    bytes merge to, so merging the pair of least rank gives the tokenizer's ids; the end of a word is a blank, which no chunk has. All else goes
+    to the tokenizer, and chunks of it of up to 64 characters are kept in a memo, which is emptied when its bytes are over a bound."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,56 +68,76 @@ class Encoder:
         self.merged = None
         if all(vocabulary["".join(pair)] == len(vocabulary) - len(model["merges"]) + k for k, pair in enumerate(model["merges"])):
             ranks = {piece_bytes(piece): i for piece, i in vocabulary.items()}
-            self.merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            # without any special token the encoding would look for the empty one at every letter; no chunk has a line feed
+            self.encoding = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\n": 1 << 30})
+            self.merged = self.encoding._core_bpe.encode_single_piece
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-cased words of Latin letters."""
+        """Ids of words of Latin letters, each with a tail of stops or none."""
         if self.merged is None:
             return self.alone(words)
-        merged = self.merged
-        return [struct.pack(f"<{len(ids := merged(w.encode() + END_BYTE))}I", *ids) for w in words]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of all these chunks in the memo."""
+        ids, counts = self.plain(pa.array(words, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if words else []
+
+    def plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these words in turn, and how many each word has with its tail."""
+        apart = pc.replace_substring_regex(chunks, f"([{STOPS}]+)$", r" \1")
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(apart)], pa.int32()), pc.utf8_lower(apart)), pa.scalar(" ", apart.type))
+        ids = self.encoding.encode_to_numpy(line[0].as_py() + " ", disallowed_special=()).astype("<u4", copy=False)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        tails = pc.subtract(pc.binary_length(apart), pc.binary_length(chunks)).to_numpy()
+        return ids, np.diff(ends[np.cumsum(1 + tails) - 1], prepend=0)
+
+    def other(self, chunks: list[str]) -> list[bytes]:
+        """Ids of any chunks."""
         if self.held > MEMO_BYTES:
             self.memo.clear()
             self.held = 0
-        memo = self.memo
-        new = chunks.difference(memo)
-        self.held += 250 * len(new) + 8 * sum(map(len, new))
-        split = [(c, core) for c in new if (core := c.rstrip(STOPS)) and (w := core.lower()).isalpha() and max(w) < LATIN]
-        plain = {c for c, _ in split}
-        found = list({core.lower() for _, core in split}.difference(memo))
-        memo.update(zip(found, self.words(found), strict=True))
-        tails = list(({c[len(core) :] for c, core in split} - {""}).difference(memo))
-        memo.update(zip(tails, self.alone(tails), strict=True))
-        for c, core in split:
-            tail = c[len(core) :]
-            memo[c] = memo[core.lower()] + memo[tail] if tail else memo[core.lower()]
-        other = [c for c in new if c not in plain]
-        memo.update(zip(other, self.alone(other), strict=True))
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text and END_ID."""
-        split = [chunked(t) for t in texts]
-        chunks = set().union(*split)
-        self.learn(chunks)
-        look, end = self.memo.__getitem__, END_ID.to_bytes(4, "little")
-        out = [b"".join(map(look, c)) + end for c in split]
-        for c in chunks:  # a text without blanks is one chunk, of any length
+        new = [c for c in chunks if c not in self.memo]
+        self.memo.update(zip(new, self.alone(new), strict=True))
+        out = [self.memo[c] for c in chunks]
+        for c in new:  # a text without blanks is one chunk, of any length
             if len(c) > Memo.LONGEST:
                 del self.memo[c]
+            else:
+                self.held += 250 + 8 * len(c)
         return out
 
+    def chunks(self, chunks: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """The ids of distinct chunks as a list each, and the place of each chunk's list."""
+        rest = pc.invert(pc.match_substring_regex(chunks, PLAIN)) if self.merged else pa.array(np.ones(len(chunks), dtype=bool))
+        ids, counts = self.plain(chunks.filter(pc.invert(rest))) if self.merged else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        others = self.other(chunks.filter(rest).to_pylist())
+        ids = np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")])
+        ends = np.cumsum(np.concatenate([[0], counts, [len(o) // 4 for o in others]]))
+        place = np.empty(len(chunks), np.int32)
+        place[np.argsort(rest.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(chunks))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), place
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each whole text and END_ID."""
+        split = chunked(texts)
+        seen = split.values.dictionary_encode()
+        lists, place = self.chunks(seen.dictionary)
+        dealt = lists.take(pa.array(place[seen.indices.to_numpy()]))
+        ids, end = dealt.values.to_numpy().tobytes(), END_ID.to_bytes(4, "little")
+        bounds = 4 * dealt.offsets.to_numpy().astype(np.int64)[split.offsets.to_numpy()]
+        return [ids[a:b] + end for a, b in itertools.pairwise(bounds.tolist())]
+
 
 #: Runs of these after a word of letters are one pre-token of their own.
 STOPS = ".,;:!?$&%*#()"
-#: Letters below this one have one lower case wherever they stand and no other composed form.
+#: Letters below this one have no other composed form, and one lower case wherever they stand; it counts if it is below, too, and one letter.
 LATIN = "\u0250"
-END_BYTE = b"\xff"
+LETTERS = "".join(c for c in map(chr, range(ord(LATIN))) if c.isalpha() and c.lower() < LATIN and len(c.lower()) == 1)
+#: What plain() takes: a word of LETTERS with a tail of STOPS or none.
+PLAIN = f"^[{LETTERS}]+[{STOPS}]*$"
+END_BYTE = b" "
 
 
 def byte_letters() -> dict[str, int]:
@@ -129,15 +152,12 @@ def piece_bytes(piece: str, letters: dict[str, int] = byte_letters()) -> bytes:
     return bytes(letters[c] for c in core) + (END_BYTE if core != piece else b"")
 
 
-def chunked(text: str | None) -> list[str]:
-    """Chunks between white space as the tokenizer sees it: str.split() knows four more separators, which are rare."""
-    if not text:
-        return []
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        for c in "\t\n\v\f\r":
-            text = text.replace(c, " ")
-        return [c for c in text.split(" ") if c]
-    return text.split()
+def chunked(texts: pa.Array) -> pa.ListArray:
+    """Each text's chunks between white space as the tokenizer sees it, some of them empty. Arrow's own splitting knows four more separators, which are rare."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        return pc.split_pattern_regex(texts, "[\t-\r ]+")
+    return pc.utf8_split_whitespace(texts)
 
 
 @functools.lru_cache(maxsize=1)
@@ -222,7 +242,7 @@ def packed(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY, to
         encode, fill, worker, made = encoder(path).texts, Filler(capacity), TaskContext.get().partitionId(), 0
         for b in slices(batches):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 start = 0
                 for length, j in cut(len(ids) // 4, capacity):
                     own = ids[4 * start : 4 * (start + length)]
