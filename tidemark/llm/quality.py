@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Memo, append_column, by_batch, fitted, fresh, is_held_out, labelled_sample, read
+from .common import Memo, append_column, by_batch, fitted, fresh, is_held_out, labelled_sample, parts, read
 from .ftrl import Ftrl, sigmoid
 
 BITS = 18
@@ -74,18 +74,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         return make
 
     def learn(got: pa.Table) -> np.ndarray:
-        cols = [got[c] for c in ("idx", "x", "y")] if got.num_rows else [()] * 3
-        return fit([(i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64), y.as_py()) for i, x, y in zip(*cols, strict=True)])
+        rows: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for b in got.to_batches() if got.num_rows else ():
+            rows.extend(zip(parts(b.column("idx")), parts(b.column("x")), b.column("y").to_pylist(), strict=True))
+        return fit(rows)
 
     return fitted(by_batch(picked, start, "doc_id bigint, tie bigint, idx array<int>, x array<float>, y int"), sample, learn)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from (coordinates, values, label) rows."""
+    """Weights from (coordinates, values, label) rows. Short numbers are widened a row at a time: all at once, a sample takes twice its own size more of its worker's memory."""
     model = Ftrl(1 << BITS, alpha=1.0, l1=0.1)
     for _ in range(epochs):
         for idx, x, y in rows:
-            model.learn(idx, x, y)
+            model.learn(idx.astype(np.int64, copy=False), x.astype(np.float64, copy=False), y)
     return model.weights()
 
 
