@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import backends
 from tidemark.functions import ordinal as O, prompts as P, text as X
 from tidemark.operators import balance, clips as C, diagnostics as D, frames as R, fusion as U, metrics as M, quality as Q, sampling as S, smoothing as G
-from tidemark.plans import runs as N
+from tidemark.plans import queries as plans, runs as N
 from tidemark.sources import readers, writers
 from tidemark.streaming import incremental
 
@@ -228,6 +229,24 @@ def test_budget_band_and_ranks(spark):
     assert rho == pytest.approx(float(np.corrcoef(a, b)[0, 1]))
 
 
+def test_percentile_band_ends_where_the_sql_ends(spark, tmp_path):
+    """Videos whose 0.55 n is whole, but over that as a double (100, 180, 220), and one with percentiles whose decimals end in a 5 at the seventh place (641)."""
+    import duckdb
+
+    rng = random.Random(6)
+    users = [n for n in (1, 2, 20, 99, 100, 180, 220, 641) for _ in range(n)]
+    rng.shuffle(users)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=k // 3), n, "view", round(rng.random() * 300, 1)) for k, n in enumerate(users)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(plans.ORACLE_SQL["percentile_band"]).fetchall()
+    got = sorted(map(tuple, plans.percentile_band(spark, str(tmp_path)).collect()))
+    assert [r[:4] for r in got] == [r[:4] for r in sorted(want)] and got == sorted(want)
+    ranks = {n: sorted(r for v, _, _, r, _ in got if v == n) for n in users}
+    assert ranks[100] == list(range(30, 55)) and ranks[180] == list(range(54, 99)) and ranks[1] == [0]
+
+
 def test_one_class_and_empty(spark):
     one = spark.createDataFrame([(0.1, 1, 0), (0.2, 1, 0)], "score double, pos int, neg int")
     assert math.isnan(M.ranking_metrics(M.curve(one)).first().roc_auc)

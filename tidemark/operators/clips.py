@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranges import numbered, running
@@ -46,11 +48,14 @@ def temporal_bins(frames: DataFrame, bins: int = 5, edge: float = 1e-9) -> DataF
 
 
 def percentile_band(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """Rows of each video whose rank by (score, center) is in [floor(low n), max(ceil(high n), first + 1)), with rank and percentile."""
+    """Rows of each video whose rank by (score, center) is in [floor(low n), max(ceil(high n), first + 1)), with rank and percentile.
+
+    low and high count as the decimal numbers they are written as: as doubles (so in the reference), 0.55 times 100 is over 55 and its ceiling 56."""
+    low, high = F.lit(Decimal(str(low))), F.lit(Decimal(str(high)))
     by = Window.partitionBy("video_id")
     rows = scores.withColumn("rank", F.row_number().over(by.orderBy("score", "center_frame")) - 1).withColumn("n", F.count("*").over(by))
-    first = F.floor(F.lit(low) * F.col("n"))
-    kept = rows.where((F.col("rank") >= first) & (F.col("rank") < F.greatest(F.ceil(F.lit(high) * F.col("n")), first + 1)))
+    first = F.floor(low * F.col("n"))
+    kept = rows.where((F.col("rank") >= first) & (F.col("rank") < F.greatest(F.ceil(high * F.col("n")), first + 1)))
     return kept.withColumn("percentile", F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))).drop("n")
 
 

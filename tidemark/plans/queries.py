@@ -160,7 +160,9 @@ def uniform_targets(spark: SparkSession, d: str) -> DataFrame:
 WHERE rank >= floor(0.3 * n) AND rank < greatest(ceil(0.55 * n), floor(0.3 * n) + 1)"""
 )
 def percentile_band(spark: SparkSession, d: str) -> DataFrame:
-    return C.percentile_band(A.clips(spark, d), 0.3, 0.55).select("video_id", "center_frame", "score", big("rank"), r6("percentile"))
+    # rounded as a product, like the SQL: 323 / 640 is a tie in decimals, but as a double a little less, which r6 does not see
+    percentile = F.round(F.col("percentile") * 1e6) / 1e6
+    return C.percentile_band(A.clips(spark, d), 0.3, 0.55).select("video_id", "center_frame", "score", big("rank"), percentile.alias("percentile"))
 
 
 @query(
